@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivano.llm import html, simhash
 from scrivano.llm.bpe import Bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +30,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), hex256("ids").alias("ids_sha256"), hex256(bpe.decode(F.col("ids")).cast("binary")).alias("decoded_sha256"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"), words=3, bits=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", html.extract(spark, F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_simhash": op2_simhash,
+        "op3_html": op3_html,
     }
 
 
