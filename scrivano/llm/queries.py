@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivano.llm import html, simhash
+from scrivano.llm import html, media, mixing, simhash
 from scrivano.llm.bpe import Bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,11 +40,22 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", html.extract(spark, F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.write_texts(spark, table(spark, sf_dir, "documents")).withColumn("f", media.features(spark, F.col("media")))
+    return stored.select("doc_id", "n_bytes", "f.payload_bytes", "f.payload_sha256", "f.tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), hex256("media").alias("media_sha256"), "f.feature")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
         "op2_simhash": op2_simhash,
         "op3_html": op3_html,
+        "op5_media": op5_media,
+        "op7_mixing": op7_mixing,
     }
 
 
