@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivano.llm import html, media, mixing, simhash
+from scrivano.llm import html, media, mixing, simhash, warc
 from scrivano.llm.bpe import Bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(spark, table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -56,6 +60,7 @@ def queries() -> dict[str, Query]:
         "op3_html": op3_html,
         "op5_media": op5_media,
         "op7_mixing": op7_mixing,
+        "op10_warc": op10_warc,
     }
 
 
