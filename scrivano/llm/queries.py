@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivano.llm import html, media, mixing, simhash, warc
+from scrivano.llm import html, media, mixing, simhash, topk, warc
 from scrivano.llm.bpe import Bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(spark, table(spark, sf_dir, "pages")))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -60,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op3_html": op3_html,
         "op5_media": op5_media,
         "op7_mixing": op7_mixing,
+        "op9_topk": op9_topk,
         "op10_warc": op10_warc,
     }
 
