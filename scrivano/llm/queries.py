@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivano.llm import html, media, mixing, simhash, topk, warc
+from scrivano.llm import html, langid, lines, media, mixing, simhash, topk, warc
 from scrivano.llm.bpe import Bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", html.extract(spark, F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", hex256(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_sha256"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.write_texts(spark, table(spark, sf_dir, "documents")).withColumn("f", media.features(spark, F.col("media")))
     return stored.select("doc_id", "n_bytes", "f.payload_bytes", "f.payload_sha256", "f.tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), hex256("media").alias("media_sha256"), "f.feature")
@@ -53,6 +58,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(spark, table(spark, sf_dir, "pages")))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), langid.predict(docs, langid.learn(docs), F.col("text")).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -62,8 +73,10 @@ def queries() -> dict[str, Query]:
         "op1_bpe": op1_bpe,
         "op2_simhash": op2_simhash,
         "op3_html": op3_html,
+        "op4_lines": op4_lines,
         "op5_media": op5_media,
         "op7_mixing": op7_mixing,
+        "op8_langid": op8_langid,
         "op9_topk": op9_topk,
         "op10_warc": op10_warc,
     }
