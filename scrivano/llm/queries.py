@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivano.llm import html, langid, lines, media, mixing, simhash, topk, warc
+from scrivano.llm import html, langid, lines, media, mixing, simhash, substring, topk, warc
 from scrivano.llm.bpe import Bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "f.payload_bytes", "f.payload_sha256", "f.tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), hex256("media").alias("media_sha256"), "f.feature")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup_substrings(table(spark, sf_dir, "documents"), 50)
+    return found.select("doc_id", "n_words", "n_removed", hex256(F.col("kept").cast("binary")).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -75,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op3_html": op3_html,
         "op4_lines": op4_lines,
         "op5_media": op5_media,
+        "op6_substring": op6_substring,
         "op7_mixing": op7_mixing,
         "op8_langid": op8_langid,
         "op9_topk": op9_topk,

@@ -32,6 +32,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: its lineage ends there."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle files of steps that are done
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
