@@ -121,15 +121,16 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     unpacker = zstandard.ZstdDecompressor(dict_data=made)
     part, rest = unpacker.decompressobj(), start
     pieces: list[bytes] = []
+    inside = False
     while True:
         if not rest and not (rest := stream.read(1 << 20)):
             break
         pieces.append(part.decompress(rest))
-        rest = b""
+        rest, inside = b"", True
         if part.eof:
             yield parse(b"".join(pieces))
-            rest, pieces, part = part.unused_data, [], unpacker.decompressobj()
-    if any(pieces):
+            rest, pieces, part, inside = part.unused_data, [], unpacker.decompressobj(), False
+    if inside:
         raise ValueError("the archive ends inside a record")
 
 
