@@ -83,7 +83,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     pairs = materialise(docs.where("doc_id is not null").select("doc_id", F.explode(F.arrow_udf(_own, "array<long>")(F.col("text"))).alias("h")), "chunks")
     owners = pairs.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-    hits = pairs.join(owners, "h").distinct().groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("h").alias("_h"), F.collect_list("owner").alias("_owner"))
+    # Without a distinct here, which the join's partitioning would satisfy: a skewed hash could then not be split.
+    hits = pairs.join(owners, "h").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h", "owner")).alias("_hits"))
+    hits = hits.select("_id", F.col("_hits.h").alias("_h"), F.col("_hits.owner").alias("_owner"))
     marked = materialise(docs.join(hits, F.col("doc_id") == F.col("_id"), "left").drop("_id"), "marked")
     # Byte comparison: of chunks that share a hash with different bytes, the first of each stays.
     own = marked.where("_h is not null").select("doc_id", F.map_from_arrays("_h", "_owner").alias("owners"), F.explode(F.arrow_udf(_found, "array<struct<h: long, chunk: string>>")(F.col("text"), F.col("_h"))).alias("c"))
