@@ -206,6 +206,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     # A quarter: the chosen positions that stand in more than one document.
     first = materialise(numbered.mapInArrow(_levels(window), LEVELS), "levels")
     twice = first.groupBy("quarter").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("quarter")
+    twice = materialise(twice, "quarters")  # or else the join follows the sum in one stage, where a skewed key can't be split
     second = materialise(first.join(twice, "quarter").drop("quarter"), "levels")
     drop(spark, first)
     # A half, to either side; and the stretch to the next position, beyond the window's length.
@@ -215,7 +216,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
         F.struct(F.lit(2).alias("mark"), F.col("left").alias("hi"), F.lit(0).cast("long").alias("lo")),
         F.struct(F.lit(4).alias("mark"), F.when(F.col("span") >= 0, F.col("hi")).otherwise(none).alias("hi"), F.col("lo").alias("lo")),
     )).alias("k")).select("doc_id", "row", "pos", "span", F.when(F.col("k.mark") == 4, 4).otherwise(3).alias("side"), "k.*").where("hi is not null")
-    owners = rows.groupBy("side", "hi", "lo").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b")
+    owners = materialise(rows.groupBy("side", "hi", "lo").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "halves")
     found = rows.join(owners, ["side", "hi", "lo"]).where((F.col("mark") < 4) | (F.col("doc_id") > F.col("a")))
     marks = found.groupBy("doc_id", "row", "pos", "span").agg(F.bit_or("mark").alias("mark"))
     marked = materialise(marks.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("pos", "mark", "span")).alias("m")), "marks")
@@ -224,7 +225,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     at = [F.col("doc_id") == F.col("d"), F.col("row") == F.col("r")]
     whole = numbered.join(marked, at).select("doc_id", "row", "text", "m.pos", "m.mark", "m.span")
     windows = materialise(whole.mapInArrow(_windows(window), WINDOWS), "windows")
-    owners = windows.groupBy("hi", "lo").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b")
+    owners = materialise(windows.groupBy("hi", "lo").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "owners")
     hits = windows.join(owners, ["hi", "lo"]).where("doc_id > a").groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list("start").alias("h"))
     gone = marked.select("d", "r", F.filter("m", lambda x: x.mark.bitwiseAND(4) > 0).alias("m")).join(hits, ["d", "r"], "left").where("size(m) > 0 or h is not null")
     gone = materialise(gone, "gone")
