@@ -82,8 +82,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and more) with the kept text in `text`, and n_lines and n_removed added."""
     small_batches(docs.sparkSession)
     pairs = materialise(docs.where("doc_id is not null").select("doc_id", F.explode(F.arrow_udf(_own, "array<long>")(F.col("text"))).alias("h")), "chunks")
-    owners = pairs.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-    # Without a distinct here, which the join's partitioning would satisfy: a skewed hash could then not be split.
+    owners = materialise(pairs.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"), "owners")
+    # The owners are written, and there is no distinct here: in one stage with a sum a skewed hash could not be split.
     hits = pairs.join(owners, "h").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h", "owner")).alias("_hits"))
     hits = hits.select("_id", F.col("_hits.h").alias("_h"), F.col("_hits.owner").alias("_owner"))
     marked = materialise(docs.join(hits, F.col("doc_id") == F.col("_id"), "left").drop("_id"), "marked")
