@@ -88,7 +88,7 @@ def links(fps: DataFrame, bits: int) -> DataFrame:
     """Distinct fingerprints (fp) to edges (u, v) whose components are those of all links at `bits` or fewer bits."""
     tables = [f"d{i}" for i in range((PIVOTS + 7) // 8)]
     cells = fps.select("fp", *(d.alias(n) for n, d in zip(tables, _distances(F.col("fp")))), _cells(F.col("fp"), bits).alias("k")).select("k.*", "fp", *tables)
-    sizes = cells.groupBy("n", "cell").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = materialise(cells.groupBy("n", "cell").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     full = materialise(cells.join(sizes, ["n", "cell"]), "cells")
     some = full.where(F.col("size") <= CELL)
     a, b = some.alias("a"), some.alias("b")
@@ -168,12 +168,12 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = 5, simi
         return pa.StructArray.from_arrays([pa.array([b for b, _ in found], pa.list_(pa.int64())), pa.array([k for _, k in found], pa.list_(pa.int64()))], ["bits", "bands"])
 
     texts = docs.where("doc_id is not null").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("same"), "text")
-    firsts = texts.groupBy("same").agg(F.min("doc_id").alias("node"))
+    firsts = materialise(texts.groupBy("same").agg(F.min("doc_id").alias("node")), "firsts")
     own = materialise(texts.select("doc_id", "same").join(firsts, "same").select("doc_id", "node"), "copies")
     # Copies are one node, of which one row is read.
     nodes = materialise(texts.join(own.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), run("text").alias("f")).select("node", "f.bits", "f.bands"), "long-fingerprints")
     cells = nodes.select("node", F.explode("bands").alias("cell"))
-    ends = cells.groupBy("cell").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    ends = materialise(cells.groupBy("cell").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last"), "ends")
     pairs = cells.join(ends, "cell").select("node", F.explode(F.array("first", "last")).alias("other")).where("node <> other").select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
     bits = nodes.select("node", "bits")
     pairs = pairs.join(bits.withColumnsRenamed({"node": "u", "bits": "a"}), "u").join(bits.withColumnsRenamed({"node": "v", "bits": "b"}), "v")
