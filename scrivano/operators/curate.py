@@ -58,6 +58,6 @@ def salvage(quarantine: DataFrame, curated: DataFrame, order: list[str]) -> Data
     """Fragments of quarantined messages that no curated message is and no earlier one gave; columns of a message."""
     found = quarantine.withColumn("text", salvaged(F.col("text"))).where("text is not null")
     found = found.join(curated.select("text").distinct(), "text", "left_anti")
-    firsts = found.groupBy("text").agg(F.min(F.struct(*order, *(c for c in ("ts", "project") if c in found.columns))).alias("m"))
+    firsts = found.groupBy("text").agg(F.min(F.struct(*dict.fromkeys([*order, *(c for c in ("ts", "project") if c in found.columns)]))).alias("m"))
     rows = firsts.select("text", "m.*").withColumns({"source": F.lit("salvage"), "words": T.py_word_count(F.col("text"))})
     return registers.tag(rows).drop("register_scores")
