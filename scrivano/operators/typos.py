@@ -47,14 +47,21 @@ def edits(word: Column) -> Column:
 
 def catalog(messages: DataFrame, words: DataFrame, by: str = "bucket") -> DataFrame:
     """by, typo, correction and n: tokens seen at most twice that aren't known, and the first edit that is a known word
-    seen at least three times as often. Rare tokens alone are edited, and only frequent known words are met."""
+    seen at least three times as often.
+
+    An edit back from the correction is one of the same kinds, so the frequent known words are edited, which are far fewer
+    than the rare tokens; only pairs that meet are then put in the order of edits.
+    """
     freq = messages.select(by, F.explode(T.typo_tokens(F.col("text"))).alias("w")).groupBy(by, "w").agg(F.count("*").alias("n"))
     frequent = freq.where("n >= 3").join(words, F.col("w") == F.col("form"), "left_semi").select(F.col(by).alias("b"), F.col("w").alias("correction"), F.col("n").alias("m"))
     rare = freq.where("n <= 2 and instr(w, \"'\") = 0")
     known = rare.select("w").distinct().select("w", F.explode(probes(F.col("w"))).alias("form")).join(words, "form", "left_semi").select("w").distinct()
-    forms = rare.join(known, "w", "left_anti").select(by, "w", "n", F.posexplode(edits(F.col("w"))).alias("at", "form"))
+    unknown = rare.join(known, "w", "left_anti")
     # The estimate of an exploded side is that of its input, so it must not be the one that is broadcast.
-    met = forms.hint("merge").join(frequent, (F.col(by) == F.col("b")) & (F.col("form") == F.col("correction"))).where(F.col("m") >= F.greatest(F.col("n") * 3, F.lit(3)))
+    near = frequent.select("correction").distinct().select("correction", F.explode(F.array_distinct(edits(F.col("correction")))).alias("w")).hint("merge")
+    pairs = unknown.join(near, "w")
+    met = pairs.join(frequent, (F.col(by) == F.col("b")) & (pairs.correction == frequent.correction)).where(F.col("m") >= F.greatest(F.col("n") * 3, F.lit(3))).select(by, "w", "n", pairs.correction)
+    met = met.withColumn("at", F.array_position(edits(F.col("w")), F.col("correction")))
     return met.groupBy(by, F.col("w").alias("typo"), "n").agg(F.min_by("correction", "at").alias("correction")).select(by, "typo", "correction", "n")
 
 
