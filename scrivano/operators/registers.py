@@ -13,9 +13,10 @@ from scrivano.functions.numbers import py_round
 NAMES = ("technical", "informal", "editorial")
 
 
-def score_columns(text: Column) -> dict[str, Column]:
-    """Unrounded technical, informal and editorial scores."""
-    found, fragments = T.register_words(text), T.register_sentences(text)
+def score_columns(text: Column, found: Column | None = None, fragments: Column | None = None) -> dict[str, Column]:
+    """Unrounded technical, informal and editorial scores; the text's tokens and fragments may be given."""
+    found = T.register_words(text) if found is None else found
+    fragments = T.register_sentences(text) if fragments is None else fragments
     n, parts = F.size(found), F.size(fragments)
     per, whole = F.greatest(n, F.lit(1)).cast("double"), F.greatest(parts, F.lit(1)).cast("double")
 
@@ -31,6 +32,12 @@ def score_columns(text: Column) -> dict[str, Column]:
     return {name: F.when(n == 0, 0.0).otherwise(s) for name, s in zip(NAMES, scores)}
 
 
+def with_scores(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the three unrounded scores; each text is split into tokens and fragments once."""
+    split = df.withColumns({"_tokens": T.register_words(F.col(text)), "_fragments": T.register_sentences(F.col(text))})
+    return split.withColumns(score_columns(F.col(text), F.col("_tokens"), F.col("_fragments"))).drop("_tokens", "_fragments")
+
+
 def label(technical: Column, informal: Column, editorial: Column) -> Column:
     """The register of the highest score, the earlier one on ties; technical where none is above zero."""
     best = F.greatest(technical, informal, editorial)
@@ -39,8 +46,9 @@ def label(technical: Column, informal: Column, editorial: Column) -> Column:
 
 def tag(messages: DataFrame) -> DataFrame:
     """messages with register_scores (rounded to three digits) and register; other columns pass through."""
-    rounded = F.struct(*(py_round(c, 3).alias(n) for n, c in score_columns(F.col("text")).items()))
-    tagged = messages.withColumn("register_scores", rounded)
+    split = messages.withColumns({"_tokens": T.register_words(F.col("text")), "_fragments": T.register_sentences(F.col("text"))})
+    scores = score_columns(F.col("text"), F.col("_tokens"), F.col("_fragments"))
+    tagged = split.withColumn("register_scores", F.struct(*(py_round(c, 3).alias(n) for n, c in scores.items()))).drop("_tokens", "_fragments")
     s = F.col("register_scores")
     return tagged.withColumn("register", label(s.technical, s.informal, s.editorial))
 

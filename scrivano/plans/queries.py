@@ -176,18 +176,18 @@ def lang_split(spark, d):
 
 @query
 def tag_scores(spark, d):
-    return corpus(spark, d).select("doc_id", *(c.alias(n) for n, c in registers.score_columns(F.col("text")).items()))
+    return registers.with_scores(corpus(spark, d)).select("doc_id", *registers.NAMES)
 
 
 @query
 def tag_register(spark, d):
-    scores = registers.score_columns(F.col("text"))
-    return corpus(spark, d).select("doc_id", *(F.floor(c * 1e6).cast("double").alias(n) for n, c in scores.items())).select("doc_id", registers.label(*map(F.col, registers.NAMES)).alias("register"))
+    scored = registers.with_scores(corpus(spark, d))
+    return scored.select("doc_id", *(F.floor(F.col(n) * 1e6).cast("double").alias(n) for n in registers.NAMES)).select("doc_id", registers.label(*map(F.col, registers.NAMES)).alias("register"))
 
 
 @query
 def tag_distribution(spark, d):
-    tagged = corpus(spark, d).withColumn("register", registers.label(*(F.floor(c * 1e6) for c in registers.score_columns(F.col("text")).values())))
+    tagged = registers.with_scores(corpus(spark, d)).withColumns({n: F.floor(F.col(n) * 1e6) for n in registers.NAMES}).withColumn("register", registers.label(*map(F.col, registers.NAMES)))
     return registers.distribution(tagged, "doc_id").select("register", *long("messages", "words"), "share")
 
 
