@@ -26,8 +26,8 @@ from scrivano.llm.store import materialise, small_batches
 
 #: Vectors in a candidate block and in a query block, cells of a component, candidates read at once.
 BLOCK, QUERIES, CELLS, STEP = 4096, 256, 256, 16
-#: Candidate blocks that share a copy of the query blocks.
-GROUP = 16
+#: Candidate blocks that share a copy of the query blocks, and groups that there are at least if there are blocks enough.
+GROUP, TASKS = 16, 64
 BLOCKS = "dims int, block long, ids binary, exact binary, low binary, width binary, cells binary"
 
 
@@ -116,11 +116,12 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 10
     vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(fine)
     candidates = materialise(blocks(vectors, scale, BLOCK), "candidates")
     queries = materialise(blocks(vectors.where(is_query).distinct(), scale, QUERIES).select("dims", F.col("ids").alias("q_ids"), F.col("exact").alias("q"), F.xxhash64("ids", "exact").alias("q_block")), "queries")
-    groups = max(1, -(-candidates.count() // GROUP))
+    count = candidates.count()
+    groups = max(1, min(count, TASKS), -(-count // GROUP))
     # A stated query set against all rows, in blocks: each group of candidate blocks gets a copy of the query blocks.
     left = candidates.withColumn("part", F.pmod(F.xxhash64("block", "ids"), F.lit(groups)))
     right = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    pairs = left.join(right, ["part", "dims"])
+    pairs = left.repartition(groups, "part").join(right.repartition(groups, "part").hint("merge"), ["part", "dims"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +129,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 10
                 q_id, place, vec, score = scan((r["dims"], r["q_ids"], r["q"]), (r["dims"], r["ids"], r["exact"], r["low"], r["width"], r["cells"]), k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_id, pa.int64()), pa.array([f"{r['q_block']} {x}" for x in place], pa.string()), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "query", "vec_id", "score"])
 
-    spread = pairs.repartition(max(1, groups * GROUP), "block", "q_block")
-    found = spread.mapInArrow(run, "query_id long, query string, vec_id long, score long")
+    # A task holds its candidate blocks and meets the query blocks one by one; the pairs themselves are never shuffled.
+    found = pairs.mapInArrow(run, "query_id long, query string, vec_id long, score long")
     by = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
