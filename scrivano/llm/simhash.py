@@ -18,6 +18,7 @@ is one shingle. Rows whose doc_id is null get a fingerprint and belong to compon
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,11 +131,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 3, bits:
 LONG_BITS, BANDS, BAND_BITS = 1024, 128, 24
 _SALTS = np.array([xxhash.xxh64_intdigest(f"word {i}".encode()) for i in range(LONG_BITS // 64)], np.uint64)
 _PLACES = np.random.default_rng(8).permuted(np.tile(np.arange(LONG_BITS), (BANDS, 1)), axis=1)[:, :BAND_BITS]
-LONG = "struct<bits: array<long>, bands: array<long>>"
-
-
-def long_fingerprint(text: str | None, words: int) -> tuple[list[int], list[int]]:
-    """The bits set in over half of a text's distinct shingles, as longs, and the keys of its bands."""
+def long_fingerprint(text: str | None, words: int) -> list[int]:
+    """The bits set in over half of a text's distinct shingles, as longs."""
     found = text.encode().lower().split() if text else []
     k = min(words, len(found))
     shingles = np.array(list({xxhash.xxh64_intdigest(b" ".join(found[i : i + k]), 42) for i in range(len(found) - k + 1)} if k else ()), np.uint64)
@@ -143,9 +141,25 @@ def long_fingerprint(text: str | None, words: int) -> tuple[list[int], list[int]
         h = (shingles[i : i + 255, None] ^ _SALTS) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         counts += np.unpackbits((h ^ (h >> np.uint64(32))).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    bits = counts * 2 > len(shingles)
-    keys = bits[_PLACES] @ (1 << np.arange(BAND_BITS)) + (np.arange(BANDS) << BAND_BITS)
-    return np.packbits(bits, bitorder="little").view("<i8").tolist(), keys.tolist()
+    return np.packbits(counts * 2 > len(shingles), bitorder="little").view("<i8").tolist()
+
+
+def _band_keys(longs: pa.Array) -> pa.Array:
+    bits = np.unpackbits(np.array(longs.to_pylist(), "<i8").reshape(len(longs), -1).view(np.uint8), axis=1, bitorder="little")
+    keys = bits[:, _PLACES] @ (1 << np.arange(BAND_BITS)) + (np.arange(BANDS) << BAND_BITS) if len(longs) else np.zeros((0, BANDS), np.int64)
+    return pa.array(keys.tolist(), pa.list_(pa.int64()))
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (cell, node) in order, each two that follow each other in a cell."""
+    last = (-1, 0)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell, node = (np.concatenate([[x], batch.column(i).to_numpy()]) for i, x in enumerate(last))
+        last = (cell[-1], node[-1])
+        at = np.flatnonzero((cell[1:] == cell[:-1]) & (node[1:] != node[:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(node[at + 1]), pa.array(node[at])], names=["u", "v"])
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -153,28 +167,27 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = 5, simi
 
     Two documents link where their long fingerprints differ in no more bits than those of sets of that similarity do on
     average, and one standard deviation more.
-    Bands propose: in each cell all members are held against its first and its last, so a cell of any size costs two
-    pairs a member. A pair of similarity 0.8 shares a cell with probability 0.94, one of 0.85 with 0.99, one of 0.9 with
-    over 0.999. Pivot tables would discard nothing here: random fingerprints' distances to a pivot differ by far less than
-    the bits that similar documents may differ in.
+    Bands propose: the rows of all cells are sorted over all tasks, so that a cell of any size is spread, and each member is
+    held against the one before it. A pair of similarity 0.8 shares a cell with probability 0.94, one of 0.85 with 0.99, one
+    of 0.9 with over 0.999. Pivot tables would discard nothing here: random fingerprints' distances to a pivot differ by far
+    less than the bits that similar documents may differ in.
     """
     small_batches(spark)
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most = int(LONG_BITS * p + np.sqrt(LONG_BITS * p * (1 - p)))
 
-    @F.arrow_udf(LONG)
+    @F.arrow_udf("array<long>")
     def run(texts: pa.Array) -> pa.Array:
-        found = [long_fingerprint(t, words) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([b for b, _ in found], pa.list_(pa.int64())), pa.array([k for _, k in found], pa.list_(pa.int64()))], ["bits", "bands"])
-
-    texts = docs.where("doc_id is not null").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("same"), "text")
-    firsts = materialise(texts.groupBy("same").agg(F.min("doc_id").alias("node")), "firsts")
-    own = materialise(texts.select("doc_id", "same").join(firsts, "same").select("doc_id", "node"), "copies")
-    # Copies are one node, of which one row is read.
-    nodes = materialise(texts.join(own.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), run("text").alias("f")).select("node", "f.bits", "f.bands"), "long-fingerprints")
-    cells = nodes.select("node", F.explode("bands").alias("cell"))
-    ends = materialise(cells.groupBy("cell").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last"), "ends")
-    pairs = cells.join(ends, "cell").select("node", F.explode(F.array("first", "last")).alias("other")).where("node <> other").select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+        return pa.array([long_fingerprint(t, words) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    text = F.coalesce("text", F.lit(""))
+    every = materialise(docs.where("doc_id is not null").select("doc_id", F.sha2(text.cast("binary"), 256).alias("same"), run("text").alias("bits")), "long-fingerprints")
+    # Copies are one node.
+    firsts = materialise(every.groupBy("same").agg(F.min("doc_id").alias("node")), "firsts")
+    own = materialise(every.select("doc_id", "same").join(firsts, "same").select("doc_id", "node"), "copies")
+    nodes = materialise(every.join(firsts.select("node"), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "bits"), "nodes")
+    cells = nodes.select(F.explode(F.arrow_udf(_band_keys, "array<long>")("bits")).alias("cell"), "node")
+    pairs = cells.repartitionByRange("cell", "node").sortWithinPartitions("cell", "node").mapInArrow(_neighbours, "u long, v long").distinct()
     bits = nodes.select("node", "bits")
     pairs = pairs.join(bits.withColumnsRenamed({"node": "u", "bits": "a"}), "u").join(bits.withColumnsRenamed({"node": "v", "bits": "b"}), "v")
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Largest Arrow batch handed to a Python worker, in rows and in bytes.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +32,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: its lineage ends there."""
     path = new_path(df.sparkSession, name)
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     df.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle files of steps that are done
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(docs: DataFrame) -> None:
+    """Deletes the tables of earlier steps, once docs is read from files and none of them is among these."""
+    files, spark = docs.inputFiles(), docs.sparkSession
+    if files:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in [p for p in _made if not any(p.rpartition("/")[2] in f for f in files)]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+            _made.remove(path)
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
