@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from scrivano.llm.store import small_batches
+from scrivano.llm.store import claim, small_batches
 
 #: Largest vocabulary file that is sent to the executors, and most chunks that a worker's cache holds before it starts anew.
 MAX_VOCABULARY_BYTES, CACHED_CHUNKS = 64 << 20, 800_000
@@ -254,7 +254,9 @@ class Bpe:
 
         @F.arrow_udf("binary")
         def encode(texts: pa.Array) -> pa.Array:
-            return pa.array(_model(sent.value).encode(texts.to_pylist()), pa.binary())
+            model = _model(sent.value)
+            claim("bpe", model.cache.clear)
+            return pa.array(model.encode(texts.to_pylist()), pa.binary())
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivano.llm.store import small_batches
+from scrivano.llm.store import claim, small_batches
 
 PER_LANGUAGE, LANGUAGES, LANDMARKS, FEATURES, LONGEST, RIDGE = 300, 100, 32, 1 << 13, 3, 1e-2
 UNKNOWN = "und"
@@ -107,6 +107,7 @@ def learn(docs: DataFrame) -> Model | None:
 
     @F.arrow_udf("binary")
     def bits(texts: pa.Array) -> pa.Array:
+        claim("langid")
         out = []
         for t in texts.to_pylist():
             row = np.zeros(FEATURES, np.uint8)
@@ -128,6 +129,7 @@ def predict(docs: DataFrame, model: Model | None, text: Column) -> Column:
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def run(texts: pa.Array) -> pa.Array:
+        claim("langid")
         model, values = sent.value, texts.to_pylist()
         lang, score = [UNKNOWN] * len(values), [0.0] * len(values)
         for i in range(0, len(values) if model else 0, ROWS):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivano.llm.graph import components
-from scrivano.llm.store import materialise, small_batches
+from scrivano.llm.store import claim, materialise, small_batches
 
 #: Reference fingerprints, the largest cell whose pairs are compared, and shingles hashed at once.
 PIVOTS, CELL, AT_ONCE = 16, 32, 1 << 16
@@ -55,6 +55,7 @@ def fingerprints(spark: SparkSession, text: Column, words: int) -> Column:
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
+        claim("simhash")
         return pa.array([fingerprint(x, words) for x in texts.to_pylist()], pa.int64())
 
     return run(text)
@@ -178,6 +179,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = 5, simi
 
     @F.arrow_udf("array<long>")
     def run(texts: pa.Array) -> pa.Array:
+        claim("simhash")
         return pa.array([long_fingerprint(t, words) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
     text = F.coalesce("text", F.lit(""))

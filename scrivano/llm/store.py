@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: In a Python worker, which stages share: the operator that runs there, and what empties the cache of each.
+_running: list[str] = []
+_emptied_by: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, empty: Callable[[], None] | None = None) -> None:
+    """Says in a worker which operator runs now; the caches of the others are emptied, as workers outlive stages."""
+    if empty:
+        _emptied_by[owner] = empty
+    if _running != [owner]:
+        _running[:] = [owner]
+        for name, other in _emptied_by.items():
+            if name != owner:
+                other()
+
+
 def sweep(docs: DataFrame) -> None:
     """Deletes the tables of earlier steps, once docs is read from files and none of them is among these."""
     files, spark = docs.inputFiles(), docs.sparkSession
