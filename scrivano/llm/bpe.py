@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from scrivano.llm.store import claim, small_batches
 
 #: Largest vocabulary file that is sent to the executors, and most chunks that a worker's cache holds before it starts anew.
-MAX_VOCABULARY_BYTES, CACHED_CHUNKS = 64 << 20, 800_000
+MAX_VOCABULARY_BYTES, CACHED_CHUNKS = 64 << 20, 300_000
+#: Letters that are split at once, and chunks that are learned at once.
+AT_ONCE, LEARNED = 1 << 20, 1 << 15
 #: Words of more bytes are merged with a heap. NEVER: later than any rank.
 SHORT = 48
 #: U+001C to U+001F separate words for str.split, but not for the vocabulary's patterns.
@@ -218,16 +220,31 @@ class WordBpe:
                 self.cache[chunk] = b"".join([packed[at[x] : at[x + 1]] if isinstance(x, int) else special[x] for x in plan])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text; texts are split together up to AT_ONCE letters, so that few chunks are held at a time."""
+        out, i = [], 0
+        while i < len(texts):
+            j, letters = i, 0
+            while j < len(texts) and (j == i or letters + len(texts[j] or "") <= AT_ONCE):
+                letters += len(texts[j] or "")
+                j += 1
+            out += self.encode_some(texts[i:j])
+            i = j
+        return out
+
+    def encode_some(self, texts: list[str | None]) -> list[bytes]:
         split = [(UNSPACED.split(t) if UNSPACED_RARE.search(t) else t.split()) if t else [] for t in texts]
-        missing = set(chain.from_iterable(split)).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHED_CHUNKS:
-            self.cache.clear()
-            missing = set(chain.from_iterable(split))
-        if missing:
-            self.learn(list(missing))
+        wanted = set(chain.from_iterable(split))
+        missing = list(wanted.difference(self.cache))
+        if len(self.cache) + len(missing) > CACHED_CHUNKS:  # what these texts have is kept
+            self.cache = {c: self.cache[c] for c in wanted.intersection(self.cache)}
+        for i in range(0, len(missing), LEARNED):
+            self.learn(missing[i : i + LEARNED])
         get = self.cache.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
+    def forget(self) -> None:
+        self.cache = {}
+
     def decode(self, ids: bytes | None) -> bytes:
         """The tokens' texts with single spaces between them, as there is no decoder in the file; unknown ids are left out."""
         n, texts = len(self.texts), self.texts
@@ -255,7 +272,7 @@ class Bpe:
         @F.arrow_udf("binary")
         def encode(texts: pa.Array) -> pa.Array:
             model = _model(sent.value)
-            claim("bpe", model.cache.clear)
+            claim("bpe", model.forget)
             return pa.array(model.encode(texts.to_pylist()), pa.binary())
 
         @F.arrow_udf("string")
@@ -263,7 +280,14 @@ class Bpe:
             model = _model(sent.value)
             return pa.array([model.decode(x) for x in ids.to_pylist()], pa.binary()).cast(pa.string())
 
-        self._encode, self._decode = encode, decode
+        @F.arrow_udf("struct<ids: binary, text: string>")
+        def both(texts: pa.Array) -> pa.Array:
+            model = _model(sent.value)
+            claim("bpe", model.forget)
+            ids = model.encode(texts.to_pylist())
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([model.decode(x) for x in ids], pa.binary()).cast(pa.string())], ["ids", "text"])
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, text: Column) -> Column:
         """Packed ids of a text; none for a null."""
@@ -272,3 +296,7 @@ class Bpe:
     def decode(self, ids: Column) -> Column:
         """The text of packed ids."""
         return self._decode(ids)
+
+    def round_trip(self, text: Column) -> Column:
+        """A struct of a text's packed ids and the text that they decode to, made by one worker instead of two."""
+        return self._both(text)

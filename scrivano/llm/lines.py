@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivano.llm.store import materialise, small_batches
+from scrivano.llm.store import claim, materialise, small_batches
 
 WINDOW, DIVISOR = 2, 3
 BASE = 0x9E3779B97F4A7C15
@@ -48,11 +48,13 @@ def _hash(chunk: str) -> int:
 
 def _own(texts: pa.Array) -> pa.Array:
     """Hashes of the distinct chunks of several lines."""
+    claim("lines")
     return pa.array([list({_hash(c) for n, c in chunks(t) if n > 1}) if t else [] for t in texts.to_pylist()], pa.list_(pa.int64()))
 
 
 def _found(texts: pa.Array, hashes: pa.Array) -> pa.Array:
     """The distinct chunks whose hashes are among the given."""
+    claim("lines")
     out = []
     for t, hs in zip(texts.to_pylist(), hashes.to_pylist()):
         wanted = set(hs or ())
@@ -61,6 +63,7 @@ def _found(texts: pa.Array, hashes: pa.Array) -> pa.Array:
 
 
 def _strip(texts: pa.Array, hashes: pa.Array) -> pa.Array:
+    claim("lines")
     kept, lines, removed = [], [], []
     for t, hs in zip(texts.to_pylist(), hashes.to_pylist()):
         if t is None:

@@ -26,8 +26,8 @@ def hex256(column) -> Column:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = Bpe(spark, WORD_BPE)
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), hex256("ids").alias("ids_sha256"), hex256(bpe.decode(F.col("ids")).cast("binary")).alias("decoded_sha256"))
+    found = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text")).alias("b"))
+    return found.select("doc_id", (F.octet_length("b.ids") / 4).cast("long").alias("n_tokens"), hex256("b.ids").alias("ids_sha256"), hex256(F.col("b.text").cast("binary")).alias("decoded_sha256"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

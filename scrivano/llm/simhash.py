@@ -132,6 +132,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 3, bits:
 LONG_BITS, BANDS, BAND_BITS = 1024, 128, 24
 _SALTS = np.array([xxhash.xxh64_intdigest(f"word {i}".encode()) for i in range(LONG_BITS // 64)], np.uint64)
 _PLACES = np.random.default_rng(8).permuted(np.tile(np.arange(LONG_BITS), (BANDS, 1)), axis=1)[:, :BAND_BITS]
+
+
 def long_fingerprint(text: str | None, words: int) -> list[int]:
     """The bits set in over half of a text's distinct shingles, as longs."""
     found = text.encode().lower().split() if text else []
@@ -146,6 +148,7 @@ def long_fingerprint(text: str | None, words: int) -> list[int]:
 
 
 def _band_keys(longs: pa.Array) -> pa.Array:
+    claim("simhash")
     bits = np.unpackbits(np.array(longs.to_pylist(), "<i8").reshape(len(longs), -1).view(np.uint8), axis=1, bitorder="little")
     keys = bits[:, _PLACES] @ (1 << np.arange(BAND_BITS)) + (np.arange(BANDS) << BAND_BITS) if len(longs) else np.zeros((0, BANDS), np.int64)
     return pa.array(keys.tolist(), pa.list_(pa.int64()))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Largest Arrow batch handed to a Python worker, in rows and in bytes.
@@ -45,7 +47,11 @@ _emptied_by: dict[str, Callable[[], None]] = {}
 
 
 def claim(owner: str, empty: Callable[[], None] | None = None) -> None:
-    """Says in a worker which operator runs now; the caches of the others are emptied, as workers outlive stages."""
+    """Says in a worker, before each batch, which operator runs now.
+
+    What Arrow's pool holds of earlier batches goes back to the system. Where another operator ran before, its caches are
+    emptied, as workers outlive stages, and what the C library holds of them goes back too.
+    """
     if empty:
         _emptied_by[owner] = empty
     if _running != [owner]:
@@ -53,6 +59,9 @@ def claim(owner: str, empty: Callable[[], None] | None = None) -> None:
         for name, other in _emptied_by.items():
             if name != owner:
                 other()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 def sweep(docs: DataFrame) -> None:

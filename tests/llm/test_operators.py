@@ -32,7 +32,8 @@ def test_bpe_is_the_librarys(spark):
     texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) + rng.choice(["", "<|endoftext|>b"]) for _ in range(400)]
     bpe = Bpe(spark, WORD_BPE)
     df = rows(spark, [(i, t, 5) for i, t in enumerate(texts)], DOCS + ", ids int")
-    got = {r.doc_id: r for r in df.withColumn("ids", bpe.encode(F.col("text"))).withColumn("back", bpe.decode(F.col("ids"))).collect()}
+    got = {r.doc_id: r for r in df.withColumn("ids", bpe.encode(F.col("text"))).withColumn("back", bpe.decode(F.col("ids"))).withColumn("b", bpe.round_trip(F.col("text"))).collect()}
+    assert all((r.b.ids, r.b.text) == (r.ids, r.back) for r in got.values())
     for i, t in enumerate(texts):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert np.frombuffer(bytes(got[i].ids), "<u4").tolist() == ids, t
