@@ -17,8 +17,10 @@ is one shingle. Rows whose doc_id is null get a fingerprint and belong to compon
 
 from __future__ import annotations
 
+import hashlib
 import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivano.llm.graph import components
-from scrivano.llm.store import claim, materialise, small_batches
+from scrivano.llm.store import claim, drop, free, materialise, small_batches
 
 #: Reference fingerprints, the largest cell whose pairs are compared, and shingles hashed at once.
 PIVOTS, CELL, AT_ONCE = 16, 32, 1 << 16
@@ -126,32 +128,52 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 3, bits:
     return own.join(linked.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-# Similarity of sets of shingles, for which 64 bits are too few: at a similarity of 0.8 one bit in seven differs.
+# Similarity of sets of shingles, for which 64 bits are too few: at a similarity of 0.8 one bit in seven differs. So the
+# pipeline's groups are found exactly, by prefixes of the sets.
 
-#: Bits of a long fingerprint, and the bands that propose pairs: so many keys of so many bits each.
-LONG_BITS, BANDS, BAND_BITS = 1024, 128, 24
-_SALTS = np.array([xxhash.xxh64_intdigest(f"word {i}".encode()) for i in range(LONG_BITS // 64)], np.uint64)
-_PLACES = np.random.default_rng(8).permuted(np.tile(np.arange(LONG_BITS), (BANDS, 1)), axis=1)[:, :BAND_BITS]
+#: Documents that are looked through for common shingles, and how many of them must have one.
+SAMPLE, COMMON = 20_000, 20
+#: Times that the members of a large cell meet its most linked member before what is not yet linked meets as pairs.
+HUBS = 3
 
 
-def long_fingerprint(text: str | None, words: int) -> list[int]:
-    """The bits set in over half of a text's distinct shingles, as longs."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The sorted XXH64 values of a text's distinct shingles."""
     found = text.encode().lower().split() if text else []
     k = min(words, len(found))
-    shingles = np.array(list({xxhash.xxh64_intdigest(b" ".join(found[i : i + k]), 42) for i in range(len(found) - k + 1)} if k else ()), np.uint64)
-    counts = np.zeros(LONG_BITS, np.int64)
-    for i in range(0, len(shingles), 255):  # so many sums fit a byte
-        h = (shingles[i : i + 255, None] ^ _SALTS) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        counts += np.unpackbits((h ^ (h >> np.uint64(32))).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(shingles), bitorder="little").view("<i8").tolist()
+    return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(found[i : i + k]), 42) for i in range(len(found) - k + 1)} if k else ()), np.uint64)
 
 
-def _band_keys(longs: pa.Array) -> pa.Array:
-    claim("simhash")
-    bits = np.unpackbits(np.array(longs.to_pylist(), "<i8").reshape(len(longs), -1).view(np.uint8), axis=1, bitorder="little")
-    keys = bits[:, _PLACES] @ (1 << np.arange(BAND_BITS)) + (np.arange(BANDS) << BAND_BITS) if len(longs) else np.zeros((0, BANDS), np.int64)
-    return pa.array(keys.tolist(), pa.list_(pa.int64()))
+def _sets(words: int) -> Callable[[Column], Column]:
+    @F.arrow_udf("array<long>")
+    def run(texts: pa.Array) -> pa.Array:
+        claim("simhash")
+        return pa.array([shingles(t, words).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return run
+
+
+def _common(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that many documents of a sample have."""
+    step = max(1, docs.count() // SAMPLE)
+    drawn = docs.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(step)) == 0).select(F.explode(_sets(words)(F.col("text"))).alias("x"))
+    return np.sort(drawn.groupBy("x").count().where(F.col("count") >= COMMON).select("x").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by cell, those of a cell with more rows; the first and the last cell may go on in other tasks and stay."""
+    held, going = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([held, batch] if held else [batch])
+        cell = table.column("cell").to_numpy()
+        same = cell[1:] == cell[:-1]
+        keep = np.concatenate([[going], same]) | np.concatenate([same, [False]])
+        yield from table.slice(0, len(cell) - 1).filter(pa.array(keep[:-1])).combine_chunks().to_batches()
+        held, going = table.slice(len(cell) - 1).combine_chunks().to_batches()[0], bool(keep[-1])
+    if held:
+        yield held
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,35 +188,95 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node[at + 1]), pa.array(node[at])], names=["u", "v"])
 
 
+def _may_link(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets that first meet in this cell, at these places of their order, may have the similarity."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    left = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
+    return (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9) & (left * (1 + similarity) >= similarity * (na + nb) - 1e-9)
+
+
+def _pairs(a: DataFrame, b: DataFrame, similarity: float, more: Column) -> DataFrame:
+    """Pairs (u, v), u < v, of rows of a and b in one cell."""
+    met = a.alias("a").join(b.alias("b"), (F.col("a.cell") == F.col("b.cell")) & more & _may_link("a", "b", similarity))
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles have the similarity."""
+    pairs = materialise(pairs, "pairs")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = materialise(docs.join(ends, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), _sets(words)(F.col("text")).alias("set")), "sets")
+    free(docs.sparkSession)
+    both = pairs.join(sets.withColumnsRenamed({"node": "u", "set": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "set": "b"}), "v")
+    exact = F.size(F.array_intersect("a", "b")) * (1 + similarity) >= similarity * (F.size("a") + F.size("b")) - 1e-9
+    found = materialise(both.where(exact).select("u", "v"), "links")
+    for table in (pairs, sets):
+        drop(docs.sparkSession, table)
+    return found
+
+
 def similar_documents(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over links) of every row of docs that has a doc_id.
 
-    Two documents link where their long fingerprints differ in no more bits than those of sets of that similarity do on
-    average, and one standard deviation more.
-    Bands propose: the rows of all cells are sorted over all tasks, so that a cell of any size is spread, and each member is
-    held against the one before it. A pair of similarity 0.8 shares a cell with probability 0.94, one of 0.85 with 0.99, one
-    of 0.9 with over 0.999. Pivot tables would discard nothing here: random fingerprints' distances to a pivot differ by far
-    less than the bits that similar documents may differ in.
+    Two documents link where the Jaccard similarity of their sets of word shingles (as XXH64 values) is that or more. A text
+    with fewer words than a shingle is one shingle; texts without words are alike.
+    Each set is ordered by the shingles' hashes, common shingles last. Of two sets of that similarity the first places, n -
+    ceil(similarity * n) + 1 of them, have a shingle in common, whatever the order, so each such shingle is a cell and no
+    pair is lost. In a cell of more than CELL members these meet the one before them, the first and then the most linked
+    one; at last all that are not in one component by then meet as pairs. Proposed pairs are verified by their whole sets.
     """
     small_batches(spark)
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most = int(LONG_BITS * p + np.sqrt(LONG_BITS * p * (1 - p)))
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    common = spark.sparkContext.broadcast(_common(docs, words))
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("struct<same: binary, n: int, first: array<long>>")
     def run(texts: pa.Array) -> pa.Array:
         claim("simhash")
-        return pa.array([long_fingerprint(t, words) for t in texts.to_pylist()], pa.list_(pa.int64()))
-
-    text = F.coalesce("text", F.lit(""))
-    every = materialise(docs.where("doc_id is not null").select("doc_id", F.sha2(text.cast("binary"), 256).alias("same"), run("text").alias("bits")), "long-fingerprints")
-    # Copies are one node.
+        same, sizes, firsts = [], [], []
+        for t in texts.to_pylist():
+            found = shingles(t, words)
+            last = np.isin(found, common.value, assume_unique=True)
+            n = len(found)
+            same.append(hashlib.sha256(found.tobytes()).digest()), sizes.append(n)
+            firsts.append(np.concatenate([found[~last], found[last]])[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["same", "n", "first"])
+
+    every = materialise(docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*"), "prefixes")
+    # Equal sets are one node.
     firsts = materialise(every.groupBy("same").agg(F.min("doc_id").alias("node")), "firsts")
     own = materialise(every.select("doc_id", "same").join(firsts, "same").select("doc_id", "node"), "copies")
-    nodes = materialise(every.join(firsts.select("node"), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "bits"), "nodes")
-    cells = nodes.select(F.explode(F.arrow_udf(_band_keys, "array<long>")("bits")).alias("cell"), "node")
-    pairs = cells.repartitionByRange("cell", "node").sortWithinPartitions("cell", "node").mapInArrow(_neighbours, "u long, v long").distinct()
-    bits = nodes.select("node", "bits")
-    pairs = pairs.join(bits.withColumnsRenamed({"node": "u", "bits": "a"}), "u").join(bits.withColumnsRenamed({"node": "v", "bits": "b"}), "v")
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    roots = components(pairs.where(apart <= most).select("u", "v"))
+    nodes = every.join(firsts.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
+    cells = nodes.select(F.col("doc_id").alias("node"), "n", F.posexplode("first").alias("at", "cell")).select("cell", "node", "n", "at")
+    cells = materialise(cells.repartitionByRange("cell", "node").sortWithinPartitions("cell", "node").mapInArrow(_shared, "cell long, node long, n int, at int"), "cells")
+    drop(spark, every)
+    free(spark)
+    sizes = materialise(cells.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("rep")).where(F.col("size") > CELL), "sizes")
+    some = materialise(cells.join(sizes, "cell", "left_anti"), "small-cells")
+    large = materialise(cells.join(sizes.select("cell"), "cell"), "large-cells")
+    drop(spark, cells)
+    free(spark)
+    links = _linked(docs, _pairs(some, some, similarity, F.col("a.node") < F.col("b.node")), words, similarity)
+    if large.isEmpty():
+        roots = components(links)
+    else:
+        before = large.repartitionByRange("cell", "node").sortWithinPartitions("cell", "node").mapInArrow(_neighbours, "u long, v long").distinct()
+        reps = sizes.select("cell", "rep").join(large, (large.cell == sizes.cell) & (large.node == sizes.rep)).select(large.cell, "node", "n", "at")
+        met = before.union(_pairs(large, reps, similarity, F.col("a.node") != F.col("b.node"))).distinct()
+        links = links.union(_linked(docs, met, words, similarity))
+        for i in range(HUBS + 1):
+            roots = materialise(components(links), "roots")
+            named = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            open_ = named.groupBy("cell").agg(F.min("root").alias("l"), F.max("root").alias("g")).where("l < g").select("cell")
+            large = materialise(named.join(open_, "cell").select("cell", "node", "n", "at", "root"), "open-cells")
+            if large.isEmpty():
+                break
+            apart = F.col("a.root") != F.col("b.root")
+            if i < HUBS:
+                degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("degree"))
+                hub = large.join(degree, "node").groupBy("cell").agg(F.max_by(F.struct("node", "n", "at", "root"), F.struct("degree", "node")).alias("x")).select("cell", "x.*")
+                links = links.union(_linked(docs, _pairs(large, materialise(hub, "hubs"), similarity, apart), words, similarity))
+            else:
+                links = links.union(_linked(docs, _pairs(large, large, similarity, apart & (F.col("a.node") < F.col("b.node"))), words, similarity))
+                roots = components(links)
+            large = large.drop("root")
     return own.join(roots, own.node == roots.node, "left").select("doc_id", F.coalesce("root", own.node).alias("component_id"))

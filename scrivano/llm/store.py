@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -75,6 +77,13 @@ def sweep(docs: DataFrame) -> None:
             _made.remove(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of tables that are written and that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the files are deleted by a thread of its own
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
