@@ -55,3 +55,21 @@ def test_star_of_copies(spark, original):
     got = answer(spark, docs)
     assert len(like) > 1900 and {got[i] for i in like} == {min(like)}
     assert all(got[i] == i for i in got if i not in like)
+
+
+@pytest.mark.parametrize("cell", [2, 32])
+def test_links_are_exact(spark, monkeypatch, cell):
+    """All pairs at 0.8 or more and none below, of short and long texts, ties and chains."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "COMMON", 5)
+    rng = random.Random(cell)
+    docs = []
+    for size in [*range(4, 14), 20, 40, 60, 100, 200, 400]:
+        for _ in range(3):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+            docs += [" ".join(base), " ".join([*base, "more"])]
+            docs += [edited(rng, base, k) for k in range(1, 1 + max(1, size // 35))]
+            docs.append(" ".join(base[: size * 4 // 5 + 1]))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    assert answer(spark, docs) == brute(docs)
