@@ -1,9 +1,10 @@
 """Line dedup by content-defined chunks.
 
-Each line has a hash; a rolling hash over the last WINDOW lines ends a chunk where it is divisible by DIVISOR, so chunks
-of a passage are the same wherever it stands in a document. A chunk of two or more lines that also stands in a document of
+Each line has a hash; a line whose hash is divisible by DIVISOR ends a chunk unless the line before it is such a line too
+or the chunk would leave a single line, so chunks of a passage are the same wherever it stands in a document, but for what
+lies before its first and after its last end of a chunk. A chunk of two or more lines that also stands in a document of
 smaller doc_id is removed, and so are later occurrences within a document. Equal hashes only propose: the chunks' bytes are
-grouped, and a chunk that merely shares its hash stays. Single lines are never removed.
+grouped, and a chunk that merely shares its hash stays. Texts of a single line are never removed.
 
 Null texts stay null, empty ones empty. Rows with the same doc_id count as one document and lose the same chunks; rows with
 a null doc_id lose only their own repeats. Other columns pass through.
@@ -19,8 +20,7 @@ from pyspark.sql import functions as F
 
 from scrivano.llm.store import claim, materialise, small_batches
 
-WINDOW, DIVISOR = 2, 3
-BASE = 0x9E3779B97F4A7C15
+DIVISOR = 2
 
 
 def chunks(text: str) -> list[tuple[int, str]]:
@@ -29,15 +29,10 @@ def chunks(text: str) -> list[tuple[int, str]]:
     if len(lines) == 1:
         return [(1, text)]
     h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
-    rolled, factor = h.copy(), 1
-    for back in range(1, WINDOW):
-        factor = factor * BASE % (1 << 64)
-        rolled[back:] += h[:-back] * np.uint64(factor)
-    rolled ^= rolled >> np.uint64(29)
-    ends = np.flatnonzero(rolled % np.uint64(DIVISOR) == 0) + 1
-    cuts = [0, *ends.tolist()]
-    if cuts[-1] != len(lines):
-        cuts.append(len(lines))
+    marked = h % np.uint64(DIVISOR) == 0
+    marked[1:] &= ~marked[:-1]  # so no chunk is a single line
+    marked[0] = marked[-2:] = False
+    cuts = [0, *(np.flatnonzero(marked) + 1).tolist(), len(lines)]
     return [(b - a, "\n".join(lines[a:b])) for a, b in zip(cuts, cuts[1:])]
 
 
