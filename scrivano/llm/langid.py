@@ -91,6 +91,16 @@ def train(found: np.ndarray, labels: list[str]) -> Model:
     return Model(languages, x[chosen].T.copy(), sizes[chosen].astype(np.float32), (root @ solved).astype(np.float32))
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text has a letter."""
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([any(map(str.isalpha, t or "")) for t in texts.to_pylist()], pa.bool_())
+
+    return run(text)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
