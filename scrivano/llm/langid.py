@@ -5,8 +5,8 @@ FEATURES places) that both have, over the root of the product of how many each h
 span the space; one-versus-rest kernel ridge regression is trained there. A text's scores are batched matrix products: its
 presence vector with the landmarks', and those kernel values with the weights.
 
-Training reads a bounded sample: about PER_LANGUAGE labelled documents of each of the LANGUAGES most frequent labels, drawn
-by a hash; their presence bits go to the driver. Letters are lower-cased and everything else is a space. Whole texts count.
+Training reads a sample of each label, drawn by a hash: about PER_LANGUAGE labelled documents, or fewer where there are so
+many labels that they would be more than SAMPLE, but LEAST; their presence bits go to the driver. Landmarks are fewer then. Letters are lower-cased and everything else is a space. Whole texts count.
 A text that is null or has no letter is `und` with score 0, and so is every text where there is nothing to learn from. Rows
 with a null doc_id are never learned from and aren't held out. Equal texts get equal predictions.
 """
@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivano.llm.store import claim, small_batches
+from scrivano.llm.store import claim, materialise, small_batches
 
-PER_LANGUAGE, LANGUAGES, LANDMARKS, FEATURES, LONGEST, RIDGE = 300, 100, 32, 1 << 13, 3, 1e-2
+PER_LANGUAGE, LANDMARKS, FEATURES, LONGEST, RIDGE = 300, 32, 1 << 13, 3, 1e-2
+#: Documents of all languages and of each one at least, and landmarks of all (one of each at least).
+SAMPLE, LEAST, MOST_LANDMARKS = 12_000, 20, 1280
 UNKNOWN = "und"
 #: Letters that are hashed at once, and texts in a matrix product.
 AT_ONCE, ROWS = 1 << 18, 128
@@ -75,7 +77,8 @@ def train(found: np.ndarray, labels: list[str]) -> Model:
     """Ridge regression over the Nyström features of presence rows."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
-    chosen = np.concatenate([np.flatnonzero(y == i)[:LANDMARKS] for i in range(len(languages))])
+    each = max(1, min(LANDMARKS, MOST_LANDMARKS // len(languages)))
+    chosen = np.concatenate([np.flatnonzero(y == i)[:each] for i in range(len(languages))])
     x = found.astype(np.float32)
     sizes = np.maximum(1, np.sqrt(x.sum(1)))
     kernel = (x @ x[chosen].T / (sizes[:, None] * sizes[chosen])).astype(np.float64)
@@ -109,11 +112,12 @@ def learn(docs: DataFrame) -> Model | None:
     """A model of docs (doc_id, text, lang); None where no row can be learned from."""
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = materialise(known.groupBy("lang").count(), "labels")
+    labels = counts.count()
+    if not labels:
         return None
+    each = min(PER_LANGUAGE, max(LEAST, SAMPLE // labels))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id", "text"), 11) * 2.0**-53
-    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, PER_LANGUAGE / n))))
 
     @F.arrow_udf("binary")
     def bits(texts: pa.Array) -> pa.Array:
@@ -124,8 +128,9 @@ def learn(docs: DataFrame) -> Model | None:
             out.append(np.packbits(row).tobytes() if presence(t, row) else None)
         return pa.array(out, pa.binary())
 
-    drawn = known.where(u < F.try_element_at(shares, F.col("lang"))).select("lang", bits(F.col("text")).alias("bits"), u.alias("u")).where("bits is not null")
-    rows = drawn.limit(2 * PER_LANGUAGE * len(counts)).collect()
+    shares = counts.select("lang", F.least(F.lit(1.0), each / F.col("count")).alias("share"))
+    drawn = known.join(shares, "lang").where(u < F.col("share")).select("lang", bits(F.col("text")).alias("bits"), u.alias("u")).where("bits is not null")
+    rows = drawn.collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["u"], r["lang"], r["bits"]))
