@@ -9,12 +9,20 @@ from scrivano.llm.store import drop, materialise
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over (u, v) with u > v; each keeps the components as they are."""
+    """One large-star and one small-star step over (u, v) with u > v; each keeps the components as they are.
+
+    The least neighbours are written before they are joined: a sum and a join in one stage would keep all edges of a hub in
+    one task, where a join alone can split them. The steps are written, so that their tables can go.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    return large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    large = materialise(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large")
+    drop(least)
+    least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+    small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
+    small = materialise(small, "edges")
+    drop(large, least)
+    return small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,5 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen, old = mark, edges
-        edges = materialise(_stars(edges), "edges")
-        drop(edges.sparkSession, old)
+        edges = _stars(edges)
+        drop(old)

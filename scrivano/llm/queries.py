@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ from scrivano.llm.bpe import Bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Where the public tokenizers lie on every machine's disk.
-WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+#: The vocabulary's file, of which the driver reads the bytes.
+WORD_BPE = path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from scrivano.llm.graph import components
 from scrivano.llm.store import claim, drop, free, materialise, small_batches
+from scrivano.llm.words import word_hashes
 
 #: Reference fingerprints, the largest cell whose pairs are compared, and shingles hashed at once.
 PIVOTS, CELL, AT_ONCE = 16, 32, 1 << 16
@@ -123,25 +124,56 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 3, bits:
     own = materialise(docs.select("doc_id", fingerprints(spark, F.col("text"), words).alias("fp")), "fingerprints")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), bits))
-    linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(linked.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # Written before they are joined, so that a giant component or a text with very many copies can be split.
+    linked = materialise(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "linked")
+    ids = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    named = materialise(linked.join(ids, "root").select("fp", "component_id"), "named")
+    drop(linked, ids)
+    return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Similarity of sets of shingles, for which 64 bits are too few: at a similarity of 0.8 one bit in seven differs. So the
-# pipeline's groups are found exactly, by prefixes of the sets.
+# Similarity of sets of shingles. At a similarity of 0.8 one bit in seven of a fingerprint of majorities differs, so 64 such
+# bits lose links or make false ones. Here the fingerprint is the set itself, as bits over all hash values: the Hamming
+# distance of two sets is the number of shingles that only one of them has, which decides the similarity exactly.
 
 #: Documents that are looked through for common shingles, and how many of them must have one.
 SAMPLE, COMMON = 20_000, 20
-#: Times that the members of a large cell meet its most linked member before what is not yet linked meets as pairs.
-HUBS = 3
+#: Slices of the hash values; the reference fingerprints are all unions of slices.
+SLICES = 256
+#: Times that each member of a cell meets the one partner that shares most cells with it, before all that is open meets in pairs.
+ROUNDS = 3
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """The sorted XXH64 values of a text's distinct shingles."""
+    """The sorted 64-bit hashes of a text's distinct shingles, rolled from the hashes of its words."""
     found = text.encode().lower().split() if text else []
-    k = min(words, len(found))
-    return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(found[i : i + k]), 42) for i in range(len(found) - k + 1)} if k else ()), np.uint64)
+    if not found:
+        return np.array([], np.uint64)
+    k, one = min(words, len(found)), word_hashes(found)
+    h = np.full(len(found) - k + 1, k, np.uint64)
+    for i in range(k):
+        h = h * _M2 + one[i : i + len(h)]
+    h = (h ^ (h >> np.uint64(30))) * _M1
+    return np.unique(h ^ (h >> np.uint64(27)))
+
+
+def table(found: np.ndarray) -> bytes:
+    """A set's row of the pivot distance table: how many of its shingles lie in each slice, up to 255.
+
+    The distance of a set A to a reference fingerprint P that is a union of slices is |A| + |P| - 2 |A and P|, so the slices'
+    counts hold the distances to all such references.
+    """
+    return np.minimum(np.bincount((found >> np.uint64(64 - SLICES.bit_length() + 1)).astype(np.int64), minlength=SLICES), 255).astype(np.uint8).tobytes()
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of counts, the largest difference of coordinates in the pivot tables, which no Hamming distance is below.
+
+    For the union of the slices in which A has more, the coordinates of A and B differ by what A has more and what B has more
+    elsewhere, together; no other union does better. Counts that are cut at 255 only lower the bound.
+    """
+    return np.abs(a.astype(np.int16) - b).sum(1, dtype=np.int64)
 
 
 def _sets(words: int) -> Callable[[Column], Column]:
@@ -176,58 +208,86 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (cell, node) in order, each two that follow each other in a cell."""
-    last = (-1, 0)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cell, node = (np.concatenate([[x], batch.column(i).to_numpy()]) for i, x in enumerate(last))
-        last = (cell[-1], node[-1])
-        at = np.flatnonzero((cell[1:] == cell[:-1]) & (node[1:] != node[:-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(node[at + 1]), pa.array(node[at])], names=["u", "v"])
-
-
-def _may_link(a: str, b: str, similarity: float) -> Column:
+def _may_link(similarity: float) -> Column:
     """Whether two sets that first meet in this cell, at these places of their order, may have the similarity."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    left = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
+    na, nb = F.col("a.n"), F.col("b.n")
+    left = F.least(na - F.col("a.at"), nb - F.col("b.at"))
     return (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9) & (left * (1 + similarity) >= similarity * (na + nb) - 1e-9)
 
 
-def _pairs(a: DataFrame, b: DataFrame, similarity: float, more: Column) -> DataFrame:
-    """Pairs (u, v), u < v, of rows of a and b in one cell."""
-    met = a.alias("a").join(b.alias("b"), (F.col("a.cell") == F.col("b.cell")) & more & _may_link("a", "b", similarity))
-    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+def _near(similarity: float) -> Callable[..., Column]:
+    @F.arrow_udf("boolean")
+    def run(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        claim("simhash")
+        x, y = (np.frombuffer(b"".join(t.to_pylist()), np.uint8).reshape(-1, SLICES) for t in (a, b))
+        both = na.to_numpy(zero_copy_only=False) + nb.to_numpy(zero_copy_only=False)
+        return pa.array(apart(x, y) * (1 + similarity) <= both * (1 - similarity) + 1e-6)
+
+    return run
+
+
+class _Verifier:
+    """Holds the sets and pivot tables of the documents in play, and verifies pairs."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, words: int, similarity: float):
+        @F.arrow_udf("struct<set: array<long>, pivots: binary>")
+        def run(texts: pa.Array) -> pa.Array:
+            claim("simhash")
+            found = [shingles(t, words) for t in texts.to_pylist()]
+            return pa.StructArray.from_arrays([pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([table(x) for x in found], pa.binary())], ["set", "pivots"])
+
+        sets = docs.join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+        self.sets = materialise(sets.select(F.col("doc_id").alias("node"), run("text").alias("s")).select("node", "s.*"), "sets")
+        self.pivots = materialise(self.sets.select("node", F.size("set").alias("n"), "pivots"), "pivots")
+        self.similarity = similarity
 
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that have the similarity: what the pivot tables leave is held against the whole sets."""
+        a = self.pivots.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("pivots").alias("pu"))
+        b = self.pivots.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("pivots").alias("pv"))
+        left = materialise(pairs.join(a, "u").join(b, "v").where(_near(self.similarity)("pu", "pv", "nu", "nv")).select("u", "v"), "pairs")
+        both = left.join(self.sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u").join(self.sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
+        shared = F.size(F.array_intersect("su", "sv"))
+        found = materialise(both.where(shared * (1 + self.similarity) >= self.similarity * (F.size("su") + F.size("sv")) - 1e-9).select("u", "v"), "links")
+        drop(left)
+        return found
 
-def _linked(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles have the similarity."""
-    pairs = materialise(pairs, "pairs")
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = materialise(docs.join(ends, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), _sets(words)(F.col("text")).alias("set")), "sets")
-    free(docs.sparkSession)
-    both = pairs.join(sets.withColumnsRenamed({"node": "u", "set": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "set": "b"}), "v")
-    exact = F.size(F.array_intersect("a", "b")) * (1 + similarity) >= similarity * (F.size("a") + F.size("b")) - 1e-9
-    found = materialise(both.where(exact).select("u", "v"), "links")
-    for table in (pairs, sets):
-        drop(docs.sparkSession, table)
+    def close(self) -> None:
+        drop(self.sets, self.pivots)
+
+
+def _best(cells: DataFrame, similarity: float, met: DataFrame | None) -> DataFrame:
+    """For each member of a cell the one first member, of any of its cells, that shares most cells with it: (u, v, u < v).
+
+    A cell's first member is the one with the least root and node. Pairs that have met are left out.
+    """
+    first = materialise(cells.groupBy("cell").agg(F.min(F.struct("root", "node", "n", "at")).alias("x")).select("cell", "x.*"), "first-members")
+    pairs = cells.alias("a").join(first.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.root") != F.col("b.root")) & _may_link(similarity))
+    counts = pairs.groupBy(F.col("a.node").alias("node"), F.col("b.node").alias("other")).agg(F.count("*").alias("count"))
+    if met is not None:
+        counts = counts.join(met, (F.least("node", "other") == met.u) & (F.greatest("node", "other") == met.v), "left_anti")
+    best = counts.groupBy("node").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
+    found = materialise(best.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(), "best")
+    drop(first)
     return found
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over links) of every row of docs that has a doc_id.
 
-    Two documents link where the Jaccard similarity of their sets of word shingles (as XXH64 values) is that or more. A text
-    with fewer words than a shingle is one shingle; texts without words are alike.
+    Two documents link where the Jaccard similarity of their sets of word shingles (as 64-bit hashes) is that or more. A text
+    with fewer words than a shingle is one shingle; texts without words are alike. Rows of one doc_id should have one text.
     Each set is ordered by the shingles' hashes, common shingles last. Of two sets of that similarity the first places, n -
     ceil(similarity * n) + 1 of them, have a shingle in common, whatever the order, so each such shingle is a cell and no
-    pair is lost. In a cell of more than CELL members these meet the one before them, the first and then the most linked
-    one; at last all that are not in one component by then meet as pairs. Proposed pairs are verified by their whole sets.
+    pair is lost. Pairs of a cell are discarded by their pivot distance tables, and survivors verified by their whole sets.
+
+    Only pairs of documents that aren't in one component yet matter. So each member first meets the one of its cells' first
+    members that shares most cells with it, ROUNDS times over, which joins the copies of a text; then all pairs of a cell
+    that are still apart meet.
     """
     small_batches(spark)
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    common = spark.sparkContext.broadcast(_common(docs, words))
+    common = spark.sparkContext.broadcast(_common(docs, words))  # at most SAMPLE documents' shingles over COMMON
 
     @F.arrow_udf("struct<same: binary, n: int, first: array<long>>")
     def run(texts: pa.Array) -> pa.Array:
@@ -235,48 +295,47 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = 5, simi
         same, sizes, firsts = [], [], []
         for t in texts.to_pylist():
             found = shingles(t, words)
-            last = np.isin(found, common.value, assume_unique=True)
             n = len(found)
             same.append(hashlib.sha256(found.tobytes()).digest()), sizes.append(n)
+            last = np.isin(found, common.value, assume_unique=True)
             firsts.append(np.concatenate([found[~last], found[last]])[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64))
         return pa.StructArray.from_arrays([pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["same", "n", "first"])
 
     every = materialise(docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*"), "prefixes")
     # Equal sets are one node.
     firsts = materialise(every.groupBy("same").agg(F.min("doc_id").alias("node")), "firsts")
-    own = materialise(every.select("doc_id", "same").join(firsts, "same").select("doc_id", "node"), "copies")
-    nodes = every.join(firsts.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
+    own = materialise(every.select("doc_id", "same").join(firsts, "same").select("doc_id", "node").distinct(), "copies")
+    nodes = every.join(firsts.select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
     cells = nodes.select(F.col("doc_id").alias("node"), "n", F.posexplode("first").alias("at", "cell")).select("cell", "node", "n", "at")
-    cells = materialise(cells.repartitionByRange("cell", "node").sortWithinPartitions("cell", "node").mapInArrow(_shared, "cell long, node long, n int, at int"), "cells")
-    drop(spark, every)
+    cells = cells.repartitionByRange("cell", "node").sortWithinPartitions("cell", "node").mapInArrow(_shared, "cell long, node long, n int, at int")
+    cells = materialise(cells, "cells").withColumn("root", F.col("node"))
+    drop(every, firsts)
     free(spark)
-    sizes = materialise(cells.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("rep")).where(F.col("size") > CELL), "sizes")
-    some = materialise(cells.join(sizes, "cell", "left_anti"), "small-cells")
-    large = materialise(cells.join(sizes.select("cell"), "cell"), "large-cells")
-    drop(spark, cells)
+    verifier = _Verifier(docs, cells.select("node").distinct(), words, similarity)
     free(spark)
-    links = _linked(docs, _pairs(some, some, similarity, F.col("a.node") < F.col("b.node")), words, similarity)
-    if large.isEmpty():
+    links = met = None
+    for i in range(ROUNDS + 1):
+        if i < ROUNDS:
+            pairs = _best(cells, similarity, met)
+        else:
+            apart_ = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _may_link(similarity)
+            pairs = cells.alias("a").join(cells.alias("b"), (F.col("a.cell") == F.col("b.cell")) & apart_).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+            pairs = materialise(pairs if met is None else pairs.join(met, ["u", "v"], "left_anti"), "open-pairs")
+        found = verifier.links(pairs)
+        links = found if links is None else links.unionByName(found)
+        met = pairs if met is None else met.unionByName(pairs)
         roots = components(links)
-    else:
-        before = large.repartitionByRange("cell", "node").sortWithinPartitions("cell", "node").mapInArrow(_neighbours, "u long, v long").distinct()
-        reps = sizes.select("cell", "rep").join(large, (large.cell == sizes.cell) & (large.node == sizes.rep)).select(large.cell, "node", "n", "at")
-        met = before.union(_pairs(large, reps, similarity, F.col("a.node") != F.col("b.node"))).distinct()
-        links = links.union(_linked(docs, met, words, similarity))
-        for i in range(HUBS + 1):
-            roots = materialise(components(links), "roots")
-            named = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_ = named.groupBy("cell").agg(F.min("root").alias("l"), F.max("root").alias("g")).where("l < g").select("cell")
-            large = materialise(named.join(open_, "cell").select("cell", "node", "n", "at", "root"), "open-cells")
-            if large.isEmpty():
-                break
-            apart = F.col("a.root") != F.col("b.root")
-            if i < HUBS:
-                degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("degree"))
-                hub = large.join(degree, "node").groupBy("cell").agg(F.max_by(F.struct("node", "n", "at", "root"), F.struct("degree", "node")).alias("x")).select("cell", "x.*")
-                links = links.union(_linked(docs, _pairs(large, materialise(hub, "hubs"), similarity, apart), words, similarity))
-            else:
-                links = links.union(_linked(docs, _pairs(large, large, similarity, apart & (F.col("a.node") < F.col("b.node"))), words, similarity))
-                roots = components(links)
-            large = large.drop("root")
-    return own.join(roots, own.node == roots.node, "left").select("doc_id", F.coalesce("root", own.node).alias("component_id"))
+        if i == ROUNDS:
+            break
+        named = cells.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = materialise(named, "named")
+        open_ = materialise(named.groupBy("cell").agg(F.min("root").alias("l"), F.max("root").alias("g")).where("l < g").select("cell"), "open")
+        old, cells = cells, materialise(named.join(open_, "cell").select("cell", "node", "n", "at", "root"), "cells")
+        drop(old, named, open_)
+        if cells.isEmpty():
+            break
+    verifier.close()
+    drop(cells)
+    named = materialise(own.join(roots, own.node == roots.node, "left").select("doc_id", F.coalesce("root", own.node).alias("component_id")), "components")
+    drop(own, links, met)
+    return named

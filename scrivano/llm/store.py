@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import time
@@ -16,33 +17,63 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Largest Arrow batch handed to a Python worker, in rows and in bytes.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a folder of this machine that goes at exit."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir of the session. Where it is unset, a local master gets a folder of this machine that goes at exit.
+
+    On a cluster such a folder would be another one on each machine, so there it is an error.
+    """
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="scrivano-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
+        context.setCheckpointDir(where)
+        where = context.getCheckpointDir()
     return where.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/scrivano-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: its lineage ends there."""
+    """df, written as Parquet in the shared folder and read again: its lineage ends there.
+
+    The table belongs to who asked for it: an operator drops what its result doesn't read, and the rest stays until close.
+    """
     path = new_path(df.sparkSession, name)
-    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle files of steps that are done
+    # Spark deletes shuffle files once their plan is collected as garbage, which a driver with memory to spare may not do for long.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, path)
+
+
+def close(spark: SparkSession) -> None:
+    """Deletes all tables of this application; results that are not yet collected are lost with them."""
+    _delete(spark, own_dir(spark))
+
+
 #: In a Python worker, which stages share: the operator that runs there, and what empties the cache of each.
 _running: list[str] = []
 _emptied_by: dict[str, Callable[[], None]] = {}
@@ -66,17 +97,6 @@ def claim(owner: str, empty: Callable[[], None] | None = None) -> None:
     pa.default_memory_pool().release_unused()
 
 
-def sweep(docs: DataFrame) -> None:
-    """Deletes the tables of earlier steps, once docs is read from files and none of them is among these."""
-    files, spark = docs.inputFiles(), docs.sparkSession
-    if files:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in [p for p in _made if not any(p.rpartition("/")[2] in f for f in files)]:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-            _made.remove(path)
-
-
 def free(spark: SparkSession) -> None:
     """Lets go of the shuffle files of tables that are written and that nothing refers to any more."""
     gc.collect()
@@ -84,14 +104,6 @@ def free(spark: SparkSession) -> None:
     time.sleep(1)  # the files are deleted by a thread of its own
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a materialised table that nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches by rows and bytes, so that long texts don't fill a worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

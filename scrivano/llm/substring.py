@@ -20,27 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivano.llm.store import drop, materialise, small_batches
+from scrivano.llm.words import word_hashes
 
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: Words whose hashes a worker keeps before it starts anew.
-CACHED_WORDS = 300_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -65,7 +54,7 @@ class Rolling:
 
     def __init__(self, words: list[bytes]):
         n = len(words)
-        one = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+        one = word_hashes(words)
         self.sums, self.turns = [], []
         for base, h in zip(MULTIPLIERS, (one, _mix(one ^ _M2))):
             total = np.zeros(n + 1, np.uint64)
@@ -208,7 +197,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     twice = first.groupBy("quarter").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("quarter")
     twice = materialise(twice, "quarters")  # or else the join follows the sum in one stage, where a skewed key can't be split
     second = materialise(first.join(twice, "quarter").drop("quarter"), "levels")
-    drop(spark, first)
+    drop(first)
     # A half, to either side; and the stretch to the next position, beyond the window's length.
     none = F.lit(None).cast("long")
     rows = second.select("doc_id", "row", "pos", "span", F.explode(F.array(
@@ -220,7 +209,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     found = rows.join(owners, ["side", "hi", "lo"]).where((F.col("mark") < 4) | (F.col("doc_id") > F.col("a")))
     marks = found.groupBy("doc_id", "row", "pos", "span").agg(F.bit_or("mark").alias("mark"))
     marked = materialise(marks.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("pos", "mark", "span")).alias("m")), "marks")
-    drop(spark, second)
+    drop(second)
     # The whole length, at every start that is left.
     at = [F.col("doc_id") == F.col("d"), F.col("row") == F.col("r")]
     whole = numbered.join(marked, at).select("doc_id", "row", "text", "m.pos", "m.mark", "m.span")
@@ -229,6 +218,6 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     hits = windows.join(owners, ["hi", "lo"]).where("doc_id > a").groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list("start").alias("h"))
     gone = marked.select("d", "r", F.filter("m", lambda x: x.mark.bitwiseAND(4) > 0).alias("m")).join(hits, ["d", "r"], "left").where("size(m) > 0 or h is not null")
     gone = materialise(gone, "gone")
-    drop(spark, windows)
+    drop(windows)
     stripped = docs.join(gone, at, "left").select("doc_id", F.arrow_udf(_strip(window), "struct<text: string, n_words: long, n_removed: long>")("text", "m", "h").alias("s"))
     return stripped.select("doc_id", F.col("s.text").alias("kept"), "s.n_words", "s.n_removed")

@@ -57,12 +57,12 @@ def test_star_of_copies(spark, original):
     assert all(got[i] == i for i in got if i not in like)
 
 
-@pytest.mark.parametrize("cell", [2, 32])
-def test_links_are_exact(spark, monkeypatch, cell):
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_links_are_exact(spark, monkeypatch, rounds):
     """All pairs at 0.8 or more and none below, of short and long texts, ties and chains."""
-    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
     monkeypatch.setattr(simhash, "COMMON", 5)
-    rng = random.Random(cell)
+    rng = random.Random(rounds)
     docs = []
     for size in [*range(4, 14), 20, 40, 60, 100, 200, 400]:
         for _ in range(3):
