@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scrivano.llm.graph import components
 from scrivano.llm.store import claim, drop, free, materialise, small_batches
-from scrivano.llm.words import word_hashes
+from scrivano.llm.words import mix, word_hashes
 
 #: Reference fingerprints, the largest cell whose pairs are compared, and shingles hashed at once.
 PIVOTS, CELL, AT_ONCE = 16, 32, 1 << 16
@@ -142,7 +142,7 @@ SAMPLE, COMMON = 20_000, 20
 SLICES = 256
 #: Times that each member of a cell meets the one partner that shares most cells with it, before all that is open meets in pairs.
 ROUNDS = 3
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+MULTIPLIER = np.uint64(0x94D049BB133111EB)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -150,12 +150,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     found = text.encode().lower().split() if text else []
     if not found:
         return np.array([], np.uint64)
-    k, one = min(words, len(found)), word_hashes(found)
+    k, one = min(words, len(found)), word_hashes(found)[:, 0]
     h = np.full(len(found) - k + 1, k, np.uint64)
     for i in range(k):
-        h = h * _M2 + one[i : i + len(h)]
-    h = (h ^ (h >> np.uint64(30))) * _M1
-    return np.unique(h ^ (h >> np.uint64(27)))
+        h = h * MULTIPLIER + one[i : i + len(h)]
+    return np.unique(mix(h))
 
 
 def table(found: np.ndarray) -> bytes:

@@ -24,48 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivano.llm.store import drop, materialise, small_batches
-from scrivano.llm.words import word_hashes
-
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base to the powers 0 to n modulo 2 to the 64."""
-    held = _powers.get(base)
-    if held is None or len(held) <= n:
-        held = np.full(max(n + 1, 4096), base, np.uint64)
-        held[0] = 1
-        _powers[base] = held = np.cumprod(held, dtype=np.uint64)
-    return held[: n + 1]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _M1
-    h = (h ^ (h >> np.uint64(27))) * _M2
-    return h ^ (h >> np.uint64(31))
-
-
-class Rolling:
-    """Hashes of any stretch of a document's words: polynomials in two bases, from prefix sums."""
-
-    def __init__(self, words: list[bytes]):
-        n = len(words)
-        one = word_hashes(words)
-        self.sums, self.turns = [], []
-        for base, h in zip(MULTIPLIERS, (one, _mix(one ^ _M2))):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(h * _power(base, n)[:n], out=total[1:])
-            self.sums.append(total)
-            self.turns.append(_power(pow(base, -1, 1 << 64), n))
-
-    def of(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-        total = self.sums[which]
-        return _mix((total[ends] - total[starts]) * self.turns[which][starts] + (ends - starts).astype(np.uint64)).view(np.int64)
-
+from scrivano.llm.words import Rolling, word_hashes
 
 def _sliding(x: np.ndarray, size: int, least: bool) -> np.ndarray:
     """Minima (or maxima) of each `size` neighbours, by doubling."""
@@ -103,7 +62,7 @@ def _levels(w: int):
                 words = split(text)
                 if (n := len(words)) < w:
                     continue
-                roll, at = Rolling(words), np.arange(n - quarter + 1)
+                roll, at = Rolling(word_hashes(words)), np.arange(n - quarter + 1)
                 p = anchors(roll.of(at, at + quarter).view(np.uint64), w - quarter + 1)
                 p = p[p <= n - quarter]
                 rest = half - quarter
@@ -153,7 +112,7 @@ def _windows(w: int):
                 words = split(text)
                 at = np.flatnonzero(_starts(len(words), w, positions, marks, spans)[1])
                 if len(at):
-                    roll = Rolling(words)
+                    roll = Rolling(word_hashes(words))
                     found.append([np.full(len(at), doc_id), np.full(len(at), row), at.astype(np.int32), roll.of(at, at + w), roll.of(at, at + w, 1)])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(5)], names=[x.split()[0] for x in WINDOWS.split(", ")])
