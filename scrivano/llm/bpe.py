@@ -4,6 +4,9 @@ Greedy longest match proposes the tokens of every word. A sequence of tokens is
 merge crosses the border of any two neighbours before the pieces at that border are merged away; vectorised checks test
 this for all neighbouring pairs of a batch at once, and only words with a failing pair are merged step by step.
 
+Python's tables of letters and of lower case and those of the tokenizers library are of different versions of Unicode; they
+agree on all code points that Python's have. Chunks with any other are lower-cased and split by the library.
+
 Text is handled by white-space chunk, since no token spans white space; encoded chunks are kept in a bounded cache.
 Null and empty texts have no tokens. Ids are packed as little-endian unsigned 32-bit integers in a binary column.
 Repeated rows give repeated results, and other columns pass through (a column named like the output is replaced).
@@ -23,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from scrivano.llm.store import claim, small_batches
 
@@ -44,6 +48,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+@functools.cache
+def unassigned() -> regex.Pattern:
+    """Finds code points that Python's tables do not have."""
+    found = np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)), bool, 0x110000)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], found, [False]]).astype(np.int8))).reshape(-1, 2)
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist()) + "]")
+
+
 class WordBpe:
     """A byte-level BPE vocabulary with a suffix for word ends, read from the JSON of the tokenizers library.
 
@@ -66,6 +78,8 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.normalise = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+        self.cut = pre_tokenizers.Split(Regex(self.words.pattern), "removed", invert=True).pre_tokenize_str
         self.texts: list[bytes | None] = [None] * (max(chain(vocab.values(), self.special.values())) + 1)
         for token, i in chain(vocab.items(), self.special.items()):
             self.texts[i] = token.encode()
@@ -194,14 +208,22 @@ class WordBpe:
         number = words.setdefault
         plans: list = []
         lowered = unicodedata.normalize("NFC", "\n".join(chunks)).replace("Σ", "σ").lower().split("\n")  # sigma: letter by letter
+        odd = unassigned().search
+
+        def split(part: str) -> list[int]:
+            if odd(part):
+                return [number(w, len(words)) for w, _ in self.cut(self.normalise(part))]
+            return [number(w, len(words)) for w in found(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())]
+
         for chunk, low in zip(chunks, lowered):
+            if not chunk.isascii() and odd(chunk):
+                low = ""  # not as Python has it
             if low.isalpha():
                 plans.append(number(low, len(words)))
             elif "<|" in chunk and self.splitter and self.splitter.search(chunk):
                 plan, at = [], 0
                 for m in chain(self.splitter.finditer(chunk), [None]):
-                    part = unicodedata.normalize("NFC", chunk[at : m.start() if m else None]).replace("Σ", "σ").lower()
-                    plan += [number(w, len(words)) for w in found(part)]
+                    plan += split(chunk[at : m.start() if m else None])
                     if m:
                         plan.append(m[0])
                         at = m.end()
@@ -209,7 +231,7 @@ class WordBpe:
             elif low and low[-1] in ".,;:!?" and low[:-1].isalpha():
                 plans.append([number(low[:-1], len(words)), number(low[-1], len(words))])
             else:
-                plans.append([number(w, len(words)) for w in found(low)])
+                plans.append([number(w, len(words)) for w in found(low)] if low else split(chunk))
         raw = [w.encode() for w in words]
         packed, at = self.encode_words([w[:-1].decode("latin-1") + chr(256 + w[-1]) for w in raw]) if raw else (b"", [0])
         special = {t: i.to_bytes(4, "little") for t, i in self.special.items()}

@@ -79,7 +79,7 @@ def _marked(attributes: str, passed: frozenset) -> tuple[bool, bool]:
 class _Element:
     """An open element; `out`: boilerplate begins here, which `soft` takes back if it turns out to hold the page's text."""
 
-    __slots__ = ("name", "out", "soft", "main", "listed", "letters", "holds_main", "parent_out")
+    __slots__ = ("name", "out", "soft", "main", "listed", "letters", "holds_main")
 
     def __init__(self, name: str, out: bool, soft: bool, main: bool):
         self.name, self.out, self.soft, self.main, self.listed = name, out, soft, main, name in LISTS
@@ -100,7 +100,8 @@ class _Cutter:
         self.lists = self.linked = self.breaks = 0
         self.anchor = -1  # depth at which a link is open
         self.heading = False
-        self.letters = 0  # outside of links, of all blocks
+        self.hard = 0  # elements around the present place that are boilerplate whatever they hold
+        self.letters = 0.0  # outside of links, of all blocks in none of those
 
     def add(self, text: str) -> None:
         if text:
@@ -117,7 +118,8 @@ class _Cutter:
                 text = " ".join(words)
                 links = min(1.0, self.linked / len(text))
                 free = len(text) * (1 - links)
-                self.letters += free
+                if not self.hard:
+                    self.letters += free
                 for x in self.outs[:4]:  # deeper ones hold no more than these
                     x.letters += free
                 self.blocks.append((text, links, tuple(self.outs[:4]), bool(self.mains), self.lists > 0, self.heading))
@@ -131,13 +133,14 @@ class _Cutter:
             named = False  # an article in an article may be a reader's comment
         hard = hidden or name in OUTSIDE and name != "form" or name == "header" and not inside
         x = _Element(name, hard or named or name == "form", not hard, name in ("article", "main") and not hidden and not named)
-        if x.main and not any(o.soft is False for o in self.outs):
-            for o in self.outs:
+        if x.main and not self.hard:
+            for o in self.outs[:4]:
                 o.holds_main = True
         if x.out:
             if name not in BLOCKS:
                 self.end()
             self.outs.append(x)
+            self.hard += not x.soft
         if x.main:
             self.mains.append(len(self.stack))
         self.lists += x.listed
@@ -151,6 +154,7 @@ class _Cutter:
             if x.name not in BLOCKS:
                 self.end()
             self.outs.pop()
+            self.hard -= not x.soft
         if x.main:
             self.mains.pop()
         self.lists -= x.listed
@@ -278,10 +282,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    labels = first_pass(found)
-    if not any(labels) and all(label is False or b.outside for b, label in zip(found, labels)):
-        return ""
-    return "\n".join(b.text for b, good in zip(found, second_pass(found, labels)) if good)
+    return "\n".join(b.text for b, good in zip(found, second_pass(found, first_pass(found))) if good)
 
 
 def extract(spark: SparkSession, page: Column) -> Column:

@@ -6,7 +6,8 @@ span the space; one-versus-rest kernel ridge regression is trained there. A text
 presence vector with the landmarks', and those kernel values with the weights.
 
 Training reads a sample of each label, drawn by a hash: about PER_LANGUAGE labelled documents, or fewer where there are so
-many labels that they would be more than SAMPLE, but LEAST; their presence bits go to the driver. Landmarks are fewer then. Letters are lower-cased and everything else is a space. Whole texts count.
+many labels that they would be more than SAMPLE, but LEAST; their presence bits go to the driver. Landmarks are fewer then.
+Letters are lower-cased and everything else is a space. Whole texts count.
 A text that is null or has no letter is `und` with score 0, and so is every text where there is nothing to learn from. Rows
 with a null doc_id are never learned from and aren't held out. Equal texts get equal predictions.
 """
@@ -111,7 +112,7 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame) -> Model | None:
     """A model of docs (doc_id, text, lang); None where no row can be learned from."""
     small_batches(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = materialise(known.groupBy("lang").count(), "labels")
     labels = counts.count()
     if not labels:

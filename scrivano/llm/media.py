@@ -4,6 +4,10 @@ A text is stored as an image: its UTF-8 bytes, filled up with bytes 255 to a pos
 8-bit samples of a Netpbm grey map TILE samples wide, which is cut into square tiles and written as one NPY array (tiles,
 rows, columns) in a binary column. Null counts as empty, and an empty text is one tile of 255. Equal texts give equal
 bytes, so repeated rows give equal values. Sizes are bounded by the row alone.
+
+Columns of Netpbm or BMP files become tiles by `image_tiles`: a colour image has a third axis. A null, or bytes that are not
+such a file (malformed, cut short, compressed, or without any sample), give a null. `image_hash` gives the difference hash of an image
+column after area resizing, with nulls in the same cases.
 """
 
 from __future__ import annotations
@@ -37,11 +41,15 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         numbers.append(int(m[1]))
         at = m.end()
     width, height, top = (*numbers, 1)[:3]
+    if not 0 < top < 65536:
+        raise ValueError("the largest sample is out of range")
     shape = (height, width, 3) if kind in (b"P3", b"P6") else (height, width)
     count = int(np.prod(shape))
     sample = np.dtype(">u2") if top > 255 else np.dtype("u1")
     if kind == b"P1":
         digits = re.sub(rb"#[^\r\n]*|\s", b"", raw[at:])[:count]
+        if digits.strip(b"01"):
+            raise ValueError("a bitmap's samples are 0 and 1")
         return 1 - (np.frombuffer(digits, "u1") - 48).reshape(shape)
     if kind in (b"P2", b"P3"):
         return np.array(re.sub(rb"#[^\r\n]*", b"", raw[at:]).split()[:count], np.int64).astype(sample.newbyteorder("=")).reshape(shape)
@@ -81,7 +89,14 @@ def decode_bmp(raw: bytes) -> np.ndarray:
 
 
 def decode(raw: bytes) -> np.ndarray:
-    return decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
+    """The image in the bytes of a Netpbm or BMP file; ValueError where they hold none."""
+    try:
+        image = decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
+    except (struct.error, IndexError, OverflowError, MemoryError) as e:
+        raise ValueError(f"not an image: {e}") from e
+    if not image.size:
+        raise ValueError("the image has no samples")
+    return image
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -108,9 +123,9 @@ def difference_hash(image: np.ndarray) -> str:
 
 def to_tiles(image: np.ndarray, tile: int = TILE) -> bytes:
     """NPY bytes of the (tiles, tile, tile) array; the image's sides are filled up to multiples of tile with FILL."""
-    high, wide = -image.shape[0] % tile, -image.shape[1] % tile
-    full = np.pad(image, ((0, high), (0, wide)), constant_values=FILL) if high or wide else image
-    cut = full.reshape(full.shape[0] // tile, tile, full.shape[1] // tile, tile).swapaxes(1, 2).reshape(-1, tile, tile)
+    high, wide, more = -image.shape[0] % tile, -image.shape[1] % tile, image.shape[2:]
+    full = np.pad(image, ((0, high), (0, wide), *[(0, 0)] * len(more)), constant_values=FILL) if high or wide else image
+    cut = full.reshape(full.shape[0] // tile, tile, full.shape[1] // tile, tile, *more).swapaxes(1, 2).reshape(-1, tile, tile, *more)
     out = io.BytesIO()
     np.save(out, np.ascontiguousarray(cut), allow_pickle=False)
     return out.getvalue()
@@ -137,6 +152,32 @@ def store(spark: SparkSession, text: Column) -> Column:
     return run(text)
 
 
+def _of_image(spark: SparkSession, image: Column, kind: str, made) -> Column:
+    small_batches(spark)
+
+    @F.arrow_udf(kind)
+    def run(images: pa.Array) -> pa.Array:
+        out = []
+        for raw in images.to_pylist():
+            try:
+                out.append(None if raw is None else made(decode(raw)))
+            except ValueError:
+                out.append(None)
+        return pa.array(out, pa.binary() if kind == "binary" else pa.string())
+
+    return run(image)
+
+
+def image_tiles(spark: SparkSession, image: Column, tile: int = TILE) -> Column:
+    """NPY tiles (tiles, tile, tile and, in colour, 3) of a column of Netpbm or BMP files; null for what is no image."""
+    return _of_image(spark, image, "binary", lambda x: to_tiles(x, tile))
+
+
+def image_hash(spark: SparkSession, image: Column) -> Column:
+    """The difference hash of a column of Netpbm or BMP files; null for what is no image."""
+    return _of_image(spark, image, "string", difference_hash)
+
+
 FEATURES = "struct<payload_bytes: long, payload_sha256: string, tail_crc32: long, feature: string>"
 
 

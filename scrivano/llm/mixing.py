@@ -73,7 +73,8 @@ def targets(docs: DataFrame, weights: Sequence[float] = WEIGHTS, factor: float =
 def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, factor: float = FACTOR, most: float = MOST) -> DataFrame:
     """What each class of each source takes, from docs (source, size, odds).
 
-    The table has source, class (null in the row of sources without words), source_size, target, certain (copies of each
+    The table has source, class (null in the row of sources without words), wordless (the row beside which the source's
+    documents without words stand), source_size, target, certain (copies of each
     document), share (the odds of p; null: none is sampled), and of the source last (the highest rank taken; null: none),
     below (all under that rank are taken), closing (the rank of the document that closes the gap) and sampled (all are taken).
     """
@@ -102,6 +103,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, factor: float = FA
     closing = others.groupBy("source").agg(F.min(F.struct("off", "rank")).alias("best")).select(F.col("source").alias("c"), F.col("best.rank").alias("closing"))
     goal_ = goal.join(cut.drop("gap"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").join(closing, F.col("source").eqNullSafe(F.col("c")), "left").drop("c")
     found = goal_.join(kinds, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    found = found.withColumn("wordless", F.row_number().over(Window.partitionBy("source").orderBy("class")) == 1)
     found = materialise(found.withColumn("sampled", F.col("last").isNull() & F.col("below").isNull()).drop("rest"), "plan")
     drop(goal, kinds, met, cut)
     return found
@@ -117,10 +119,8 @@ def _taken(odds_: Column) -> Column:
 def _beside(docs: DataFrame, goal: DataFrame) -> DataFrame:
     """docs (with _source and _size) beside their rows of the plan."""
     goal = goal.withColumnsRenamed({"source": "s", "class": "c"})
-    # A document without words stands beside one row of its source.
-    first = goal.groupBy("s").agg(F.min("c").alias("least")).select(F.col("s").alias("s2"), "least")
-    goal = goal.join(first, F.col("s").eqNullSafe(F.col("s2"))).withColumn("wordless", F.col("c").eqNullSafe(F.col("least"))).drop("s2", "least")
-    return docs.join(goal, F.col("source").eqNullSafe(F.col("s")) & F.when(F.col("size") > 0, F.col("c") == classes(F.col("size"))).otherwise(F.col("wordless"))).drop("s", "c", "wordless")
+    own = F.when(F.col("size") > 0, F.col("c") == classes(F.col("size"))).otherwise(F.col("wordless"))
+    return docs.join(goal, F.col("source").eqNullSafe(F.col("s")) & own).drop("s", "c", "wordless")
 
 
 def copies(docs: DataFrame, doc_id: Column, text: Column, source: Column, **options) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scrivano.llm import html, langid, lines, media, mixing, simhash, substring, topk, warc
 from scrivano.llm.bpe import Bpe
+from scrivano.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,4 +91,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -17,6 +17,7 @@ is one shingle. Rows whose doc_id is null get a fingerprint and belong to compon
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -226,33 +227,39 @@ def _near(similarity: float) -> Callable[..., Column]:
 
 
 class _Verifier:
-    """Holds the sets and pivot tables of the documents in play, and verifies pairs."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, words: int, similarity: float):
-        @F.arrow_udf("struct<set: array<long>, pivots: binary>")
-        def run(texts: pa.Array) -> pa.Array:
-            claim("simhash")
-            found = [shingles(t, words) for t in texts.to_pylist()]
-            return pa.StructArray.from_arrays([pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([table(x) for x in found], pa.binary())], ["set", "pivots"])
-
-        sets = docs.join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-        self.sets = materialise(sets.select(F.col("doc_id").alias("node"), run("text").alias("s")).select("node", "s.*"), "sets")
-        self.pivots = materialise(self.sets.select("node", F.size("set").alias("n"), "pivots"), "pivots")
-        self.similarity = similarity
+    """Holds the pivot tables of the documents in play (node, n, pivots) and verifies pairs."""
+
+    def __init__(self, docs: DataFrame, pivots: DataFrame, words: int, similarity: float):
+        self.docs, self.pivots, self.words, self.similarity = docs, pivots, words, similarity
+        self.sets: list[DataFrame] = []
+
+    def _sets(self, nodes: DataFrame) -> DataFrame:
+        """The sets of nodes, of which those that no earlier pair had are made from the texts."""
+        new = nodes
+        for known in self.sets:
+            new = new.join(known.select("node"), "node", "left_anti")
+        new = materialise(new, "new-nodes")
+        own = self.docs.join(new, F.col("doc_id") == F.col("node"), "left_semi")
+        self.sets.append(materialise(own.select(F.col("doc_id").alias("node"), _sets(self.words)(F.col("text")).alias("set")), "sets"))
+        drop(new)
+        return functools.reduce(DataFrame.unionByName, self.sets).join(nodes, "node", "left_semi")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that have the similarity: what the pivot tables leave is held against the whole sets."""
         a = self.pivots.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("pivots").alias("pu"))
         b = self.pivots.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("pivots").alias("pv"))
         left = materialise(pairs.join(a, "u").join(b, "v").where(_near(self.similarity)("pu", "pv", "nu", "nv")).select("u", "v"), "pairs")
-        both = left.join(self.sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u").join(self.sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
+        ends = materialise(left.select(F.col("u").alias("node")).union(left.select("v")).distinct(), "ends")
+        sets = self._sets(ends)
+        free(pairs.sparkSession)
+        both = left.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
         shared = F.size(F.array_intersect("su", "sv"))
         found = materialise(both.where(shared * (1 + self.similarity) >= self.similarity * (F.size("su") + F.size("sv")) - 1e-9).select("u", "v"), "links")
-        drop(left)
+        drop(left, ends)
         return found
 
     def close(self) -> None:
-        drop(self.sets, self.pivots)
+        drop(self.pivots, *self.sets)
 
 
 def _best(cells: DataFrame, similarity: float, met: DataFrame | None) -> DataFrame:
@@ -288,30 +295,31 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = 5, simi
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     common = spark.sparkContext.broadcast(_common(docs, words))  # at most SAMPLE documents' shingles over COMMON
 
-    @F.arrow_udf("struct<same: binary, n: int, first: array<long>>")
+    @F.arrow_udf("struct<same: binary, n: int, first: array<long>, pivots: binary>")
     def run(texts: pa.Array) -> pa.Array:
         claim("simhash")
-        same, sizes, firsts = [], [], []
+        same, sizes, firsts, pivots = [], [], [], []
         for t in texts.to_pylist():
             found = shingles(t, words)
             n = len(found)
-            same.append(hashlib.sha256(found.tobytes()).digest()), sizes.append(n)
+            same.append(hashlib.sha256(found.tobytes()).digest()), sizes.append(n), pivots.append(table(found))
             last = np.isin(found, common.value, assume_unique=True)
             firsts.append(np.concatenate([found[~last], found[last]])[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["same", "n", "first"])
+        return pa.StructArray.from_arrays([pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(pivots, pa.binary())], ["same", "n", "first", "pivots"])
 
     every = materialise(docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*"), "prefixes")
     # Equal sets are one node.
     firsts = materialise(every.groupBy("same").agg(F.min("doc_id").alias("node")), "firsts")
     own = materialise(every.select("doc_id", "same").join(firsts, "same").select("doc_id", "node").distinct(), "copies")
     nodes = every.join(firsts.select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
+    pivots = every.select(F.col("doc_id").alias("node"), "n", "pivots").dropDuplicates(["node"])
     cells = nodes.select(F.col("doc_id").alias("node"), "n", F.posexplode("first").alias("at", "cell")).select("cell", "node", "n", "at")
     cells = cells.repartitionByRange("cell", "node").sortWithinPartitions("cell", "node").mapInArrow(_shared, "cell long, node long, n int, at int")
     cells = materialise(cells, "cells").withColumn("root", F.col("node"))
+    pivots = materialise(pivots.join(cells.select("node").distinct(), "node", "left_semi"), "pivots")
     drop(every, firsts)
     free(spark)
-    verifier = _Verifier(docs, cells.select("node").distinct(), words, similarity)
-    free(spark)
+    verifier = _Verifier(docs, pivots, words, similarity)
     links = met = None
     for i in range(ROUNDS + 1):
         if i < ROUNDS:

@@ -6,7 +6,7 @@ stored once, as the response of the smallest page_id that has it; the other page
 A retried task writes a file of a new name, and only files that a finished task has named are read.
 
 Null payloads count as empty. A null page_id is never referred to; where all pages of a payload have none, all are
-responses. Equal rows are records of their own (the repeats of a response are responses too, as their page_id is the
+responses. Equal rows are records of their own with one record id (the repeats of a response are responses too, as their page_id is the
 smallest). An empty table writes no archive.
 """
 
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivano.llm.store import materialise, new_path, small_batches
+from scrivano.llm.store import drop, materialise, new_path, small_batches
 
 DEDUP = 100
 #: Bytes of the dictionary, and of the records it is built from (evenly taken from the first HELD bytes of an archive).
@@ -34,13 +34,21 @@ CRLF = b"\r\n"
 DATE = "2026-01-01T00:00:00Z"
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
+
+
+def _uri(url: str | None) -> str:
+    return quote(url or "urn:none", safe=":/?#[]@!$&'()*+,;=%~")
+
+
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """A record of WARC 1.1; of a revisit the payload is left out, its size and digest stay."""
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>"),
+        ("WARC-Record-ID", _id(page_id, digest)),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", quote(url or "urn:none", safe=":/?#[]@!$&'()*+,;=%~")),
+        ("WARC-Target-URI", _uri(url)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Identified-Payload-Type", "text/html"),
         ("X-Payload-Length", str(len(payload))),
@@ -48,7 +56,7 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
     if page_id is not None:
         head.append(("X-Page-ID", str(page_id)))
     if refers_to is not None:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-ID", str(refers_to))]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _id(refers_to, digest)), ("WARC-Refers-To-Target-URI", _uri(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", str(refers_to))]
         payload = b""
     head += [("Content-Type", "application/octet-stream"), ("Content-Length", str(len(payload)))]
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + CRLF + payload + CRLF + CRLF
@@ -144,8 +152,13 @@ def write(spark: SparkSession, pages: DataFrame) -> DataFrame:
     folder = new_path(spark, "warc")
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    first = pages.where(F.octet_length("html") >= DEDUP).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    rows = pages.join(first, F.col("digest") == F.col("d"), "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    # Small payloads have a key of their own, which nothing meets. The responses are written before they are joined, so that
+    # a payload that very many pages have is split.
+    pages = pages.withColumn("key", F.when(F.octet_length("html") >= DEDUP, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    first = pages.where(F.octet_length("html") >= DEDUP).groupBy("key").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialise(first.select("key", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "responses")
+    other = ~F.col("page_id").eqNullSafe(F.col("first"))
+    rows = pages.join(first, "key", "left").select("page_id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"), F.when(other, F.col("first_url")).alias("refers_url"))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, n, path = None, 0, f"{uuid.uuid4().hex}.warc.zst"
@@ -156,14 +169,16 @@ def write(spark: SparkSession, pages: DataFrame) -> DataFrame:
                 system, place = _open(folder)
                 system.create_dir(place, recursive=True)
                 writer = Writer(system.open_output_stream(f"{place}/{path}"))
-            for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                writer.add(record("response" if refers_to is None else "revisit", page_id, url, html.encode(), digest, refers_to))
+            for page_id, url, html, digest, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns)):
+                writer.add(record("response" if refers_to is None else "revisit", page_id, url, html.encode(), digest, refers_to, refers_url))
                 n += 1
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "records": pa.array([n], pa.int64())})
 
-    return materialise(rows.mapInArrow(save, "path string, records long"), "archives")
+    archives = materialise(rows.mapInArrow(save, "path string, records long"), "archives")
+    drop(first)
+    return archives
 
 
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scrivano.llm import html, langid, lines, media, mixing, substring, topk, warc
+from scrivano.llm import html, langid, media, mixing, substring, topk, warc
 from scrivano.llm.bpe import Bpe, WordBpe
 from scrivano.llm.queries import WORD_BPE
 
@@ -40,6 +40,15 @@ def test_bpe_is_the_librarys(spark):
         assert got[i].back == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_code_points_of_all_planes():
+    """Every seventeenth code point among letters, digits and marks, those unassigned in Python's tables included."""
+    library, model = Tokenizer.from_file(WORD_BPE), WordBpe(open(WORD_BPE, "rb").read())
+    points = [chr(i) for i in range(0, 0x110000, 17) if not 0xD800 <= i < 0xE000] + list("\u0558\u1c89\U0002cea8")
+    texts = [f"ab{c}cd{c} {c}1 <|endoftext|>{c}E" for c in points] + ["".join(points[i : i + 40]) for i in range(0, len(points), 40)]
+    for t, ids, want in zip(texts, model.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, t
+
+
 def test_bpe_speculation_meets_both_outcomes():
     model = WordBpe(open(WORD_BPE, "rb").read())
     merged = []
@@ -75,45 +84,6 @@ def test_html_long_page():
     assert html.main_text("<article>" + "<p>word</p>" * 50_000).count("\n") == 49_999 and html.main_text(page)
 
 
-# --- lines
-
-
-def brute_lines(docs):
-    first, out = {}, {}
-    for i, t in sorted((d for d in docs if d[0] is not None and d[1]), key=lambda d: d[0]):
-        for n, c in lines.chunks(t):
-            if n > 1:
-                first.setdefault(c, i)
-    for i, t in docs:
-        kept, seen, lost = [], set(), 0
-        for n, c in lines.chunks(t) if t is not None else ():
-            if n > 1 and (c in seen or i is not None and first.get(c, i) < i):
-                lost += n
-            else:
-                kept.append(c)
-            seen.add(c)
-        out.setdefault(i, []).append((None if t is None else "\n".join(kept), lost))
-    return {k: sorted(v, key=str) for k, v in out.items()}
-
-
-def test_lines(spark, monkeypatch):
-    rng = random.Random(2)
-    passages = ["\n".join(f"line {rng.randrange(10**6)}" for _ in range(9)) for _ in range(4)]
-    docs = [(i, "\n".join(rng.choice([rng.choice(passages), f"own {rng.random()}", ""]) for _ in range(rng.randrange(1, 6)))) for i in range(60)]
-    docs += [(None, passages[0] + "\n" + passages[0]), (70, None), (71, ""), (72, "one line"), (73, passages[1]), (73, passages[1]), (74, "\n".join(map(str, range(20_000))))]
-    df = rows(spark, [(i, t, "x") for i, t in docs], DOCS + ", n_lines string")
-
-    def answer():
-        out = {}
-        for r in lines.dedup_lines(df).collect():
-            out.setdefault(r.doc_id, []).append((r.text, r.n_removed))
-        return {k: sorted(v, key=str) for k, v in out.items()}
-
-    assert answer() == brute_lines(docs)
-    assert "\n".join(c for _, c in lines.chunks(docs[-1][1])) == docs[-1][1]
-    assert lines.dedup_lines(rows(spark, [])).count() == 0
-
-
 # --- media
 
 
@@ -222,6 +192,39 @@ def test_mixing(spark):
         assert abs(taken[s] - goal[s]) <= 3
 
 
+def test_mixing_has_unequal_chances(spark):
+    """Over many seeds a document is taken as often as its class's expected copies say, longer ones more often."""
+    rng = random.Random(8)
+    docs = [(i, "w " * rng.choice([1, 3, 12, 50, 200]), "ab"[i % 2]) for i in range(400)]
+    df = rows(spark, docs, DOCS + ", source string")
+    size = {i: len(t.split()) for i, t, _ in docs}
+    taken: dict = {}
+    for salt in range(9):
+        got = mixing.mix(df.withColumn("doc_id", F.col("doc_id") + salt * 1000)).collect()
+        for r in got:
+            kind = ("ab"[r.doc_id % 2], size[r.doc_id % 1000])
+            taken.setdefault(kind, []).append(r.copies)
+        assert max(r.copies for r in got) <= 2
+    rates = {k: sum(v) / len(v) for k, v in taken.items()}
+    for s in "ab":
+        whole = sum(size[i] for i, _, x in docs if x == s)
+        goal = got[0].target if "ab"[got[0].doc_id % 2] == s else next(r.target for r in got if "ab"[r.doc_id % 2] == s)
+        words = {n: sum(size[i] for i, _, x in docs if x == s and size[i] == n) for n in (1, 3, 12, 50, 200)}
+        low, high = 0.0, 2.0  # what expected copies a binary digit stands for
+        for _ in range(60):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(2, c * n.bit_length()) * w for n, w in words.items()) < goal else (low, c)
+        if goal < 2 * whole - 1e-6:
+            for n in (3, 12, 50):
+                assert abs(rates[s, n] - min(2, c * n.bit_length())) < 0.15, (s, n)
+            assert rates[s, 1] < rates[s, 12] < rates[s, 200] + 1e-9
+
+
+def test_mixing_odd_columns(spark):
+    df = rows(spark, [(1, "a b", "s", 1, 2), (2, None, "s", 1, 2), (None, "c", None, 1, 2)], DOCS + ", source string, size int, rank int")
+    assert sorted((r.doc_id or 0, r.size) for r in mixing.mix(df).collect()) == [(0, 1), (1, 2), (2, 0)]
+
+
 def test_mixing_edges(spark):
     schema = DOCS + ", source string"
     assert mixing.mix(rows(spark, [], schema)).count() == 0
@@ -271,6 +274,7 @@ def brute_top(vectors, query, k):
 def test_topk(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "TASKS", 5)
     rng = random.Random(6)
     vectors = [(i, [rng.choice([-1.0, 0.0, 0.5, rng.gauss(0, 1)]) for _ in range(5)]) for i in range(120)]
     vectors += [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0]), (202, [float("nan")] * 5), (203, [float("inf")] * 5), (210, [1.0, 2.0]), (220, [0.5, 0.5]), (300, [1e12, -1e12, 1.0, 2.0, 3.0]), (None, [1.0] * 5), (301, vectors[3][1])]
@@ -279,6 +283,16 @@ def test_topk(spark, monkeypatch, block):
     assert {tuple(r) for r in got.collect()} == {(a, b, c, limit(s)) for a, b, c, s in brute_top(vectors, lambda i: i % 10 == 0, 4)}
 
 
+def test_topk_ties_repeats_and_odd_columns(spark):
+    """Equal vectors by the hundred, a repeated row, and columns named as the operator's own."""
+    vectors = [(i, [1.0, 2.0], "x", 1) for i in range(300)] + [(300, [0.0, 0.0], "x", 1)] * 2 + [(301, [], "x", 1), (400, [], "x", 1)]
+    df = rows(spark, vectors, "vec_id long, embedding array<double>, mark string, q int")
+    got: dict = {}
+    for r in topk.top_k(spark, df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: [*range(1, 11)], 100: [*range(10)], 200: [*range(10)], 300: [*range(10)], 400: [301]}
+
+
 def test_topk_empty(spark):
     assert topk.top_k(spark, rows(spark, [], "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0).count() == 0
 
@@ -305,6 +319,27 @@ def test_warc(spark):
     assert got == sorted(want, key=str)
 
 
+def test_warc_hot_payload_and_odd_columns(spark):
+    """One payload on half the pages; a third of the pages empty; columns of clashing names."""
+    body = "<p>" + "x" * 200
+    pages = [(i, f"u{i}", body if i % 2 else "" if i % 3 else f"<p>{i}" + "y" * 150, "d", 1) for i in range(3000)]
+    df = rows(spark, pages, PAGES + ", digest string, key int").repartition(7)
+    got = {r.page_id: r for r in warc.read(warc.write(spark, df)).collect()}
+    assert len(got) == 3000 and got[1].record_type == "response" and all(got[i].refers_to == 1 for i in range(3, 3000, 2))
+    assert all(got[i].record_type == "response" for i in range(0, 3000, 2))
+
+
+def test_warc_revisits_name_their_response(spark):
+    body = "z" * 300
+    archives = warc.write(spark, rows(spark, [(1, "http://a/1", body), (2, "http://a/2", body)], PAGES).coalesce(1))
+    system, place = warc._open(archives.first().path)
+    with system.open_input_stream(place) as stream:
+        found = {h["X-Page-ID"]: (h, p) for h, p in warc.read_records(stream)}
+    first, again = found["1"][0], found["2"][0]
+    assert found["1"][1] == body.encode() and found["2"][1] == b""
+    assert again["WARC-Refers-To"] == first["WARC-Record-ID"] != again["WARC-Record-ID"] and again["WARC-Refers-To-Target-URI"] == "http://a/1"
+
+
 def test_warc_format(tmp_path):
     out = io.BytesIO()
     out.close, closed = (lambda: None), out

@@ -2,16 +2,21 @@
 
 import hashlib
 import random
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from scrivano.llm import langid, lines, simhash
+from scrivano.llm import langid, simhash, stages
 from scrivano.llm.queries import WORD_BPE
 
+sys.path.insert(0, str(Path(__file__).parent))
+import test_line_runs  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -53,29 +58,27 @@ def test_stages(spark):
     lettered = [i for i, t in zip(before.doc_id, before.text) if any(c.isalpha() for c in t)]
     assert sorted(language.doc_id) == sorted(lettered)
 
-    first: dict = {}
-    rows = sorted(zip(language.doc_id, language.text))
-    for i, t in rows:
-        for n, c in lines.chunks(t):
-            if n > 1:
-                first.setdefault(c, i)
-    for (i, t), kept, n in zip(rows, line.sort_values("doc_id").text, line.sort_values("doc_id").n_chars):
-        out, seen = [], set()
-        for size, c in lines.chunks(t):
-            if size == 1 or c not in seen and first[c] >= i:
-                out.append(c)
-            seen.add(c)
-        assert kept == "\n".join(out) and n == len(kept)
+    want = {i: (kept, lost) for i, kept, lost in test_line_runs.brute(list(zip(language.doc_id, language.text)))}
+    for i, kept, n in zip(line.doc_id, line.text, line.n_chars):
+        assert (kept, n) == (want[i][0], len(want[i][0]))
 
     texts = dict(zip(line.doc_id, line.text))
     stays = set(near.doc_id)
     assert len(stays) == len(near)
     sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
     for i in texts:
-        if i not in stays:  # each that goes has a like one of a smaller doc_id
-            assert any(j < i and (sets[i] == sets[j] or len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) > 0.6) for j in texts)
-        else:
-            assert not any(j < i and (sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.9) for j in stays)
+        for j in texts:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert stays == {top(i) for i in texts}
 
     times = Counter(mixed.doc_id)
     assert set(times) <= stays and max(times.values()) <= 2
@@ -98,3 +101,35 @@ def test_rejection_is_by_letters_alone(spark):
     df = spark.createDataFrame([(1, "zq", "en"), (2, "éà", None), (3, "--", None)], "doc_id long, text string, lang string")
     model = langid.learn(df)
     assert [r.p.lang == "und" for r in df.select(langid.predict(df, model, F.col("text")).alias("p")).collect()] in ([False, False, True], [True, True, True])
+
+
+def test_stages_pass_columns_of_any_name(spark):
+    """Names that the stages might use themselves, nulls in every column, and repeated rows."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, _p string, p string, row string, hs int, share int, last int, _s int, s int, copies int, copy int, _id int, node int, size int, odds int, `a b` int"
+    more = ("p", "q", "r") + tuple(range(12))
+    texts = ["one two three four five six\nseven eight nine ten", "one two three four five six\nseven eight nine ten", None, "", "un deux trois quatre cinq six sept huit neuf dix onze"]
+    docs = spark.createDataFrame([(i, t, "en" if i else None, "s", 5, *more) for i, t in enumerate(texts)] + [(None, None, None, None, None, *[None] * len(more)), (1, texts[1], "en", "s", 5, *more)], names)
+    for f in (stages.language, stages.line_dedup, stages.near_dedup, stages.mix):
+        out = f(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert all(tuple(r[5:]) == more for r in kept if r.doc_id is not None)
+        assert f(spark, docs.where("false"), SF).count() == 0
+    assert {r.doc_id for r in stages.near_dedup(spark, docs, SF).collect()} == {0, 2, 4, None}
+    assert stages.tokens(spark, docs, SF).count() == 7
+
+
+def test_pivot_tables_lose_no_link():
+    """The tables' bound is never above the distance of two sets, and discards most pairs far apart."""
+    rng = np.random.default_rng(1)
+    far = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 3000))
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        keep = rng.random(n) < rng.choice([0.3, 0.6, 0.9, 1.0])
+        a, b = np.unique(base), np.unique(np.concatenate([base[keep], rng.integers(0, 2**64, n - int(keep.sum()), dtype=np.uint64)]))
+        distance = len(np.setxor1d(a, b))
+        found = simhash.apart(*(np.frombuffer(simhash.table(x), np.uint8)[None] for x in (a, b)))[0]
+        assert found <= distance
+        far += distance * 1.8 > 0.2 * 3 * (len(a) + len(b)) and found * 1.8 > 0.2 * (len(a) + len(b))
+    assert far > 50

@@ -80,3 +80,13 @@ def test_empty_and_odd_rows(spark):
 
 def test_long_text(spark):
     assert answer(spark, [(1, "a b " * 100_000), (2, "b a " * 100_000)]) == brute([(1, "a b " * 100_000), (2, "b a " * 100_000)])
+
+
+def test_giant_component(spark):
+    """A chain of fingerprints two bits apart and a hub with very many neighbours, in one component each."""
+    from scrivano.llm.graph import components
+
+    edges = [(i, i + 1) for i in range(3000)] + [(10_000, 10_001 + i) for i in range(60_000)]
+    got = components(spark.createDataFrame(edges, "u long, v long"))
+    counts = {r.root: r["count"] for r in got.groupBy("root").count().collect()}
+    assert counts == {0: 3000, 10_000: 60_000}
