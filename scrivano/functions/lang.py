@@ -4,39 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scrivano import constants as C
 from scrivano.functions import text as T
 
+LANGUAGES = ("en", "el", "gr-latn", "other")
 #: A language with fewer words doesn't split a message.
 MINORITY = 15
 
 
 def detect(text: Column) -> Column:
     greek, latin = F.regexp_count(text, F.lit(C.GREEK_LETTER)), F.regexp_count(text, F.lit("[a-zA-Z]"))
-    found = T.latin_words(text)
-    strong = F.size(F.filter(found, lambda w: w.isin(C.STRONG_GREEK)))
-    weak = F.size(F.filter(found, lambda w: w.isin(C.WEAK_GREEK)))
-    n = F.size(found)
-    romanised = (n >= 4) & (strong >= 1) & ((strong + weak).cast("double") / F.greatest(n, F.lit(1)) >= 0.12)
-    return F.when(greek > latin, "el").when(latin == 0, "other").when(romanised, "gr-latn").otherwise("en")
 
+    def romanised(found: Column) -> Column:
+        strong, weak = (F.size(F.filter(found, lambda w: w.isin(names))) for names in (C.STRONG_GREEK, C.WEAK_GREEK))
+        n = F.size(found)
+        return (n >= 4) & T.let(strong, lambda s: (s >= 1) & ((s + weak).cast("double") / F.greatest(n, F.lit(1)) >= 0.12))
 
-def split(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, chunk (from 0), lang and text of each message's chunks; neighbours of one language are one chunk.
+    latin_side = F.when(T.let(T.latin_words(text), romanised), "gr-latn").otherwise("en")
+    return T.let(latin, lambda n: F.when(greek > n, "el").when(n == 0, "other").otherwise(latin_side))
+
+
+def chunks(text: Column) -> Column:
+    """lang and text of each chunk of a message, in order, as an array; of one row alone, so nothing is shuffled.
 
-    A message stays whole if it has one language, or if its second language has under MINORITY words. The key must be unique.
+    A message stays whole if it has one language, or if its second language has under MINORITY words.
     """
-    paras = df.select(key, text, F.posexplode_outer(T.paragraphs(F.col(text))).alias("at", "para"))
-    paras = paras.withColumn("at", F.coalesce("at", F.lit(0))).withColumn("lang", detect(F.coalesce("para", text))).withColumn("n", F.coalesce(T.py_word_count(F.col("para")), F.lit(0)))
-    totals = paras.groupBy(key, "lang").agg(F.sum("n").alias("total"), F.min("at").alias("first"))
-    ranked = totals.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("total"), "first")))
-    sides = ranked.groupBy(key).agg(F.max(F.when(F.col("place") == 1, F.col("lang"))).alias("major"), F.coalesce(F.max(F.when(F.col("place") == 2, F.col("total"))), F.lit(0)).alias("second"))
-    tagged = paras.join(sides, key)
-    whole = tagged.where((F.col("second") < MINORITY) & (F.col("at") == 0)).select(key, F.lit(0).alias("chunk"), F.col("major").alias("lang"), F.col(text).alias("text"))
-    order = Window.partitionBy(key).orderBy("at")
-    parts = tagged.where(F.col("second") >= MINORITY).withColumn("new", (F.col("lang") != F.lag("lang").over(order)).cast("int"))
-    parts = parts.withColumn("chunk", F.coalesce(F.sum("new").over(order), F.lit(0)).cast("int"))
-    parts = parts.groupBy(key, "chunk", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "para"))), lambda x: x.para), "\n\n").alias("text"))
-    return whole.unionByName(parts)
+    tagged = F.transform(T.paragraphs(text), lambda p: F.struct(p.alias("para"), detect(p).alias("lang"), T.py_word_count(p).alias("n")))
+
+    def total(parts: Column, name: str) -> Column:
+        own = F.filter(parts, lambda x: x.lang == name)
+        words = F.aggregate(own, F.lit(0), lambda a, x: a + x.n)
+        place = F.array_position(F.transform(parts, lambda x: x.lang), F.lit(name))
+        return F.when(place > 0, F.struct((-words).alias("less"), place.alias("first"), F.lit(name).alias("lang")))
+
+    def parted(parts: Column) -> Column:
+        """Neighbours of one language as one chunk: from each place where the language changes up to the next."""
+        starts = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: (i == 1) | (F.get(parts, i - 1).lang != F.get(parts, i - 2).lang))
+
+        def chunk(at: Column, i: Column) -> Column:
+            own = F.slice(parts, F.get(at, i), F.coalesce(F.get(at, i + 1), F.size(parts) + 1) - F.get(at, i))
+            return F.struct(F.get(own, F.lit(0)).lang.alias("lang"), F.array_join(F.transform(own, lambda x: x.para), "\n\n").alias("text"))
+
+        return T.let(starts, lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda i: chunk(at, i)))
+
+    def judged(parts: Column) -> Column:
+        ranked = F.array_sort(F.array_compact(F.array(*(total(parts, name) for name in LANGUAGES))))
+        whole = lambda name: F.array(F.struct(name.alias("lang"), text.alias("text")))
+        split = lambda order: F.when(-F.coalesce(F.get(order, F.lit(1)).less, F.lit(0)) < MINORITY, whole(F.get(order, F.lit(0)).lang)).otherwise(parted(parts))
+        return F.when(F.size(parts) == 0, whole(detect(text))).otherwise(T.let(ranked, split))
+
+    return T.let(tagged, judged)
+
+
+def split(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, chunk (from 0), lang and text of each message's chunks; null texts have none."""
+    parts = df.where(F.col(text).isNotNull()).select(key, F.posexplode(chunks(F.col(text))).alias("chunk", "c"))
+    return parts.select(key, "chunk", "c.lang", "c.text")

@@ -20,10 +20,10 @@ _DATE = re.compile(C.RFC5322)
 
 def clean(text: Column) -> Column:
     """A body up to the signature and the first quoted message, without quoted lines and URLs."""
-    lines = T.splitlines(F.substring_index(text, "\n-- \n", 1))
-    marked = F.transform(lines, lambda x: x.rlike(C.QUOTE_INTRO) | x.rlike(C.OUTLOOK_DIVIDER))
-    cut = F.array_position(marked, F.lit(True)).cast("int")
-    own = F.filter(F.slice(lines, 1, F.when(cut > 0, cut - 1).otherwise(F.size(lines))), lambda x: ~F.regexp_replace(x, f"^[{C.PY_WS}]+", "").startswith(">"))
+    marked = lambda x: x.rlike(C.QUOTE_INTRO) | x.rlike(C.OUTLOOK_DIVIDER)
+    upto = lambda lines, cut: F.slice(lines, 1, F.when(cut > 0, cut - 1).otherwise(F.size(lines)))
+    head = T.let(T.splitlines(F.substring_index(text, "\n-- \n", 1)), lambda lines: T.let(F.array_position(F.transform(lines, marked), F.lit(True)).cast("int"), lambda cut: upto(lines, cut)))
+    own = F.filter(head, lambda x: ~x.rlike(f"^[{C.PY_WS}]*>"))
     joined = F.regexp_replace(T.url_strip(F.array_join(own, "\n")), r"[ \t]+", " ")
     return T.py_strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
 
@@ -68,6 +68,14 @@ def unescape_text(text: str) -> str:
     return _REFERENCE.sub(one, text)
 
 
+_XML = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
+
+
+def unescape_xml(text: str) -> str:
+    """XML's five entities and numeric references, which need their semicolon; any other stays."""
+    return re.sub(r"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|(lt|gt|amp|quot|apos));", lambda m: _XML[m[3]] if m[3] else _character(int(m[2], 16) if m[2] else int(m[1])), text)
+
+
 def unescape(text: Column) -> Column:
     """Numeric and common named character references decoded; unknown names stay."""
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scrivano import constants as C
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it and whatever the optimizer inlines."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -70,8 +77,7 @@ def py_word_count(text: Column) -> Column:
 
 def splitlines(text: Column) -> Column:
     """The lines as str.splitlines() gives them: no empty one after a last boundary."""
-    parts = F.split(text, C.LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, C.LINE_END), lambda parts: F.slice(parts, 1, F.size(parts) - (F.element_at(parts, -1) == "").cast("int")))
 
 
 def occurrences(text: Column, part: str) -> Column:
@@ -109,7 +115,7 @@ def demojibake(text: Column) -> Column:
     """UTF-8 that was read as Latin-1 put right; unchanged where the text isn't such."""
     narrow = ~text.rlike(r"[^\x00-\xFF]")
     decoded = F.try_validate_utf8(F.encode(F.when(narrow, text).otherwise(""), "ISO-8859-1").cast("string"))
-    return F.when(narrow & ~F.coalesce(decoded, F.lit("�")).contains("�"), decoded).otherwise(text)
+    return let(decoded, lambda d: F.when(narrow & ~F.coalesce(d, F.lit("�")).contains("�"), d).otherwise(text))
 
 
 def strip_machine_text(text: Column) -> Column:

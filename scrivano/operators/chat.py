@@ -30,5 +30,10 @@ def ingest(spark: SparkSession, inbox: str, owner_name: str | None = None) -> Da
     return parts.join(own.select("key", "ts", "source"), "key").select("ts", F.concat(F.lit("chat:"), "source").alias("source"), "lang", T.py_word_count(F.col("text")).alias("words"), "text")
 
 
+def dropped_others(rows: DataFrame, owner_name: str) -> DataFrame:
+    """How many messages others than the owner sent: one row."""
+    return rows.agg(F.count_if(~F.col("sender").eqNullSafe(F.lit(owner_name))).alias("not_owner"))
+
+
 def words_by_language(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lang").agg(F.sum("words").alias("words")).orderBy("lang")

@@ -36,22 +36,33 @@ def route_totals(curated: DataFrame) -> DataFrame:
     return curated.groupBy("route").agg(F.count("*").alias("messages"), F.sum("words").alias("words"))
 
 
+def stats(curated: DataFrame) -> DataFrame:
+    """The lines of a report on routed messages: at and line."""
+    found = {name: (F.count_if(F.col("route") == name), F.coalesce(F.sum(F.when(F.col("route") == name, F.col("words"))), F.lit(0))) for name in ROUTES}
+    one = curated.agg(*(c.alias(f"{name}_{i}") for name, pair in found.items() for i, c in enumerate(pair)))
+    said = [F.lit("# Curated corpus stats"), F.lit(""), F.format_string("Kept: %d messages, %d words", "curated_0", "curated_1"), F.format_string("Quarantined (over %d words): %d messages, %d words", F.lit(C.MAX_TYPED_WORDS), "quarantine_0", "quarantine_1"), F.format_string("AI-marked: %d messages", "`ai-marked_0`"), F.format_string("Dropped: %d", "dropped_0")]
+    return one.select(F.posexplode(F.array(*said)).alias("at", "line"))
+
+
 def typed_flavored(para: Column, most: int) -> Column:
     """Whether a trimmed paragraph reads like a typed instruction."""
-    n = T.py_word_count(para)
-    return (n >= 4) & (n <= most) & ~para.rlike(C.CORRESPONDENCE) & ~para.rlike(C.DOCUMENT_LIKE) & para.rlike(f"(?iu){C.NOT_AFTER_WORD}(?:{C.SALVAGE_INSTRUCTION}){C.NOT_BEFORE_WORD}")
+    return T.py_word_count(para).between(4, most) & ~para.rlike(C.CORRESPONDENCE) & ~para.rlike(C.DOCUMENT_LIKE) & para.rlike(f"(?iu){C.NOT_AFTER_WORD}(?:{C.SALVAGE_INSTRUCTION}){C.NOT_BEFORE_WORD}")
 
 
 def salvaged(text: Column) -> Column:
     """The typed fragment of a long message: up to two opening paragraphs, and the last; null where there is none."""
-    paras = F.transform(T.paragraphs(text), T.js_trim)
-    first, second, last = F.get(paras, F.lit(0)), F.get(paras, F.lit(1)), F.try_element_at(paras, F.lit(-1))
-    one = typed_flavored(first, 120)
-    two = one & typed_flavored(second, 120)
-    taken = two.cast("int") + one.cast("int")
-    end = (F.size(paras) > taken) & typed_flavored(last, 60)
-    out = F.concat_ws("\n\n", F.when(one, first), F.when(two, second), F.when(end, last))
-    return F.when((F.size(paras) >= 2) & ~out.contains("—") & (T.py_word_count(out) >= 8), out)
+
+    def said(paras: Column, one: Column, two: Column) -> Column:
+        first, second, last = F.get(paras, F.lit(0)), F.get(paras, F.lit(1)), F.try_element_at(paras, F.lit(-1))
+        end = (F.size(paras) > two.cast("int") + one.cast("int")) & typed_flavored(last, 60)
+        parts = F.concat_ws("\n\n", F.when(one, first), F.when(two, second), F.when(end, last))
+        return T.let(parts, lambda out: F.when((F.size(paras) >= 2) & ~out.contains("—") & (T.py_word_count(out) >= 8), out))
+
+    def chosen(paras: Column) -> Column:
+        one, second = typed_flavored(F.get(paras, F.lit(0)), 120), typed_flavored(F.get(paras, F.lit(1)), 120)
+        return T.let(one, lambda x: T.let(x & second, lambda y: said(paras, x, y)))
+
+    return T.let(F.transform(T.paragraphs(text), T.js_trim), chosen)
 
 
 def salvage(quarantine: DataFrame, curated: DataFrame, order: list[str]) -> DataFrame:

@@ -26,11 +26,31 @@ def records(messages: DataFrame) -> DataFrame:
     return parts.where(F.col("words") >= LEAST_WORDS)
 
 
-def ingest(spark: SparkSession, inbox: str) -> DataFrame:
-    """ts, source, lang, words, text of what each source's owner wrote."""
+def judged(spark: SparkSession, inbox: str) -> DataFrame:
+    """Every message with `own`: whether its sender is its source's owner. In Outlook archives empty senders are no owners.
+
+    Only owners' bodies are cleaned; the others' text is null.
+    """
     rows = archives.mail_messages(spark, inbox).withColumns({"address": mail.from_address(F.col("sender")), "key": F.concat_ws("\u0001", "source", "place")})
-    counted = rows.where((F.col("address") != "") | (~F.col("kind").isNull()))
-    own = rows.join(owners(counted).select("source", "address"), ["source", "address"], "left_semi")
+    who = owners(rows.where((F.col("address") != "") | (F.col("archive") != "olm"))).select("source", F.col("address").alias("owner"))
     body = F.when(F.col("kind") == "html", mail.html_to_text(F.col("body"))).otherwise(F.col("body"))
-    own = own.select("key", "source", mail.format_date(F.col("sent")).alias("ts"), mail.clean(body).alias("text"))
+    rows = rows.join(who, "source", "left").withColumn("own", F.col("address") == F.coalesce("owner", F.lit("")))
+    return rows.select("key", "source", "own", mail.format_date(F.col("sent")).alias("ts"), F.when(F.col("own"), mail.clean(body)).alias("text"))
+
+
+def ingest(spark: SparkSession, inbox: str) -> DataFrame:
+    """ts, source, lang, words, text of what each source's owner wrote."""
+    own = judged(spark, inbox).where("own")
     return records(own.select("key", "text")).join(own.select("key", "source", "ts"), "key").select("ts", "source", "lang", "words", "text")
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """One row: kept, skipped and not_owner of judged messages (own, text).
+
+    A message that is too short or a bounce is skipped once, and so is each of its chunks under LEAST_WORDS words.
+    """
+    sizes = F.transform(lang.chunks(F.col("text")), lambda c: T.py_word_count(c.text))
+    whole = (T.py_word_count(F.col("text")) < LEAST_WORDS) | mail.is_bounce(F.col("text"))
+    each = rows.select("own", F.when(F.col("own"), F.when(whole, F.array(F.lit(0))).otherwise(sizes)).alias("sizes"))
+    kept, skipped = (F.sum(F.size(F.filter(F.coalesce("sizes", F.array().cast("array<int>")), f))) for f in (lambda n: n >= LEAST_WORDS, lambda n: n < LEAST_WORDS))
+    return each.agg(F.coalesce(kept, F.lit(0)).alias("kept"), F.coalesce(skipped, F.lit(0)).alias("skipped"), F.count_if(~F.col("own")).alias("not_owner"))

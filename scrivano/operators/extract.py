@@ -54,6 +54,13 @@ def summary(all_rows: DataFrame) -> DataFrame:
     return texts.agg(F.count("*").alias("messages"), (F.sum("n") - F.count("*")).alias("duplicates")).join(ranges, F.lit(True))
 
 
-def with_rank(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """rows with how many of its text came before (0: the first)."""
-    return rows.withColumn("earlier", F.row_number().over(Window.partitionBy(text).orderBy(*order)) - 1)
+def stats(all_rows: DataFrame, order: str) -> DataFrame:
+    """The lines of a report on kept rows before the duplicates go: totals, range of times, and a table of projects."""
+    total = summary(all_rows).crossJoin(all_rows.dropDuplicates(["text"]).agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words")))
+    shown = lambda c: F.coalesce(c, F.lit("None"))
+    head = [F.lit("# Corpus stats"), F.lit(""), F.format_string("Messages: %d, words: %d, duplicates skipped: %d", "messages", "words", "duplicates"), F.concat(F.lit("Range: "), shown("first_ts"), F.lit(" to "), shown("last_ts")), F.lit(""), F.lit("| project | messages | words |"), F.lit("|---|---|---|")]
+    lines = total.select(F.posexplode(F.array(*head)).alias("at", "line")).select(F.lit(0).alias("part"), F.col("at").cast("long"), "line")
+    firsts = all_rows.groupBy("text").agg(F.min(F.struct(order, "project", "words")).alias("m")).select("m.*")
+    table = firsts.groupBy("project").agg(F.count("*").alias("messages"), F.sum("words").alias("words"), F.min(order).alias("first"))
+    rows = table.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy(F.desc("messages"), "first")).cast("long").alias("at"), F.format_string("| %s | %d | %d |", "project", "messages", "words").alias("line"))
+    return lines.unionByName(rows)

@@ -103,9 +103,15 @@ def fingerprint(messages: DataFrame, by: str = "bucket", order: str = "doc_id")
     )
 
 
-def rhythm(prints: DataFrame, by: str = "bucket") -> DataFrame:
-    """What a text in any language tells: the fingerprint's cadence, of buckets with RHYTHM_WORDS words."""
-    return prints.where(F.col("words") >= RHYTHM_WORDS).select(by, *RHYTHM_COLUMNS, F.lit(C.RHYTHM_SIGNAL).alias("signal"))
+def enough_for_rhythm(messages: DataFrame, by: str = "bucket") -> DataFrame:
+    """Rows of buckets with RHYTHM_WORDS words between white space."""
+    sizes = messages.groupBy(by).agg(F.sum(T.py_word_count(F.col("text"))).alias("n")).where(F.col("n") >= RHYTHM_WORDS)
+    return messages.join(sizes.select(by), by, "left_semi")
+
+
+def rhythm(messages: DataFrame, by: str = "bucket", order: str = "doc_id") -> DataFrame:
+    """What a text in any language tells: the fingerprint's cadence, of buckets that have enough words."""
+    return fingerprint(enough_for_rhythm(messages, by), by, order).select(by, *RHYTHM_COLUMNS, F.lit(C.RHYTHM_SIGNAL).alias("signal"))
 
 
 def source_bucket(kind: str, source: Column) -> Column:
@@ -130,7 +136,8 @@ def corpus_buckets(tagged: DataFrame | None, salvaged: DataFrame | None, email:
             df = df.where("register is not null").withColumn("bucket", F.col("register")).withColumn("lang", F.lit("en"))
         else:
             df = df.withColumn("bucket", source_bucket(("email", "chat")[i - 2], F.col("source")))
-        part = df.select("bucket", F.col("ts").cast("string").alias("ts"), "lang", "text", F.lit(i).alias("kind"))
+        place = [F.struct(F.lit(i).alias("kind"), F.col("place")).alias("place")] if "place" in df.columns else []
+        part = df.select("bucket", F.col("ts").cast("string").alias("ts"), "lang", "text", F.lit(i).alias("kind"), *place)
         parts.append(buckets(part) if i >= 2 else part)
     if not parts:
         raise ValueError("there is no corpus")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from scrivano import constants as C
 from scrivano.functions import text as T
-from scrivano.functions.numbers import py_round
+from scrivano.functions.numbers import py_rounds
 
 NAMES = ("technical", "informal", "editorial")
 
@@ -48,7 +48,7 @@ def tag(messages: DataFrame) -> DataFrame:
     """messages with register_scores (rounded to three digits) and register; other columns pass through."""
     split = messages.withColumns({"_tokens": T.register_words(F.col("text")), "_fragments": T.register_sentences(F.col("text"))})
     scores = score_columns(F.col("text"), F.col("_tokens"), F.col("_fragments"))
-    tagged = split.withColumn("register_scores", F.struct(*(py_round(c, 3).alias(n) for n, c in scores.items()))).drop("_tokens", "_fragments")
+    tagged = split.withColumn("register_scores", py_rounds(scores, 3)).drop("_tokens", "_fragments")
     s = F.col("register_scores")
     return tagged.withColumn("register", label(s.technical, s.informal, s.editorial))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import subprocess
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -49,6 +51,29 @@ def ask(df: DataFrame, question: str, backends: Sequence[Backend], out: str = "a
     return df.mapInArrow(run, schema)
 
 
+def command(argv: Sequence[str], timeout: float = 600) -> Callable[[str], str]:
+    """A backend that a local program is: the prompt goes to its standard input, its standard output is the answer."""
+
+    def run(question: str) -> str:
+        done = subprocess.run(list(argv), input=question, capture_output=True, text=True, timeout=timeout)
+        if done.returncode or not done.stdout.strip():
+            raise RuntimeError(done.stderr.strip()[-200:] or f"{argv[0]} gave no answer")
+        return done.stdout.strip()
+
+    return run
+
+
+def http(url: str, headers: dict[str, str], request: Callable[[str], dict], answer: Callable[[dict], str], timeout: float = 300) -> Callable[[str], str]:
+    """A backend behind a URL: request makes the JSON that is posted, answer takes the text out of the JSON that comes."""
+
+    def run(question: str) -> str:
+        asked = urllib.request.Request(url, json.dumps(request(question)).encode(), {"Content-Type": "application/json", **headers})
+        with urllib.request.urlopen(asked, timeout=timeout) as got:
+            return answer(json.loads(got.read()))
+
+    return run
+
+
 def rewrite(drafts: DataFrame, backends: Sequence[Backend], own_rules: list[rules.Rule] | None = None) -> DataFrame:
     """drafts (text, and guide and avoid if they have them) with the model's text after the rules."""
     guide, avoid = (F.col(c) if c in drafts.columns else None for c in ("guide", "avoid"))
@@ -140,13 +165,17 @@ def generated_snippets(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(T.paragraphs(F.col("text"))).alias("text")).withColumn("text", T.js_trim(F.col("text"))).where(T.py_word_count(F.col("text")) >= 15)
 
 
+def _order(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("text")).cast("binary"))
+
+
 def blind_sample(own: DataFrame, generated: DataFrame, n: int, seed: int) -> DataFrame:
     """n of the author's texts and n generated ones in random order, cut to what is shown; the seed fixes them."""
 
     def some(df: DataFrame, truth: str, salt: int) -> DataFrame:
-        return df.select("text").orderBy(F.xxhash64(F.lit(seed + salt), "text"), "text").limit(n).select(F.substring("text", 1, 400).alias("text"), F.lit(truth).alias("truth"))
+        return df.select("text").orderBy(_order(seed + salt), "text").limit(n).select(F.substring("text", 1, 400).alias("text"), F.lit(truth).alias("truth"))
 
-    return some(own, "author", 0).unionByName(some(generated, "model", 1)).orderBy(F.xxhash64(F.lit(seed + 2), "text"))
+    return some(own, "author", 0).unionByName(some(generated, "model", 1)).orderBy(_order(seed + 2), "text")
 
 
 def blind_rate(answers: DataFrame) -> DataFrame:

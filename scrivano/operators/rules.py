@@ -120,9 +120,11 @@ def rules_table(spark: SparkSession, rules: list[Rule] | None = None) -> DataFra
     return spark.createDataFrame([(i, r.id, r.kind, r.pattern, r.replacement, len(r.tests)) for i, r in enumerate(RULES if rules is None else rules)], "position int, id string, kind string, pattern string, replacement string, tests int")
 
 
-def selftest(spark: SparkSession, rules: list[Rule] | None = None) -> dict[str, int]:
-    """Runs each rule's own cases and, for the built-in rules, the cases of the whole fold: numbers of rules, tests, failures."""
+def selftest(spark: SparkSession, rules: list[Rule] | None = None) -> dict:
+    """Runs each rule's own cases and, for the built-in rules, the cases of the whole fold: numbers of rules, tests and
+    failures, and what is said of each failure."""
     failures = tests = 0
+    said = []
     for own in [[r] for r in (RULES if rules is None else rules)] + ([RULES] if rules is None else []):
         cases = list(own[0].tests) if len(own) == 1 else C.PIPELINE_TESTS
         if not cases:
@@ -130,5 +132,7 @@ def selftest(spark: SparkSession, rules: list[Rule] | None = None) -> dict[str,
         got = enforce(spark.createDataFrame([(i, c["in"]) for i, c in enumerate(cases)], "i int, text string"), own).orderBy("i").collect()
         for case, row in zip(cases, got):
             tests += 1
-            failures += "out" in case and row.enforced != case["out"] or "flags" in case and sum(row.flags.values()) != case["flags"]
-    return {"rules": len(RULES if rules is None else rules), "tests": tests, "failures": int(failures)}
+            if "out" in case and row.enforced != case["out"] or "flags" in case and sum(row.flags.values()) != case["flags"]:
+                failures += 1
+                said.append(f"{own[0].id if len(own) == 1 else 'pipeline'}: {case['in']!r} gave {row.enforced!r} and {sum(row.flags.values())} flags")
+    return {"rules": len(RULES if rules is None else rules), "tests": tests, "failures": failures, "said": said}

@@ -68,6 +68,13 @@ def score(drafts: DataFrame, prints: DataFrame, own_rules: list[rules.Rule] | No
     return fidelity(joined.withColumn("ref_sent_p50", F.when(F.col("ref_contractions_per_1k").isNull(), missing.cast("double")).otherwise(F.col("ref_sent_p50"))))
 
 
+def require(drafts: DataFrame, prints: DataFrame) -> None:
+    """Raises ProfileNotFound where a draft names a register that has no fingerprint."""
+    missing = drafts.select("register").distinct().join(prints.select(F.col("bucket").alias("register")), "register", "left_anti").limit(5).collect()
+    if missing:
+        raise ProfileNotFound("no fingerprint for register " + ", ".join(sorted(r.register or "(none)" for r in missing)))
+
+
 def deltas() -> Column:
     """A map from each metric to its values in the text and in the register."""
     return F.create_map(*(x for m in C.METRICS for x in (F.lit(m[0]), F.struct(F.col(m[0]).cast("double").alias("text"), F.col(f"ref_{m[0]}").alias("register")))))

@@ -104,7 +104,7 @@ def fingerprint_profile(spark, d):
 def rhythm_only(spark, d):
     c = corpus(spark, d).withColumn("bucket", F.concat("bucket", F.lit("-rhythm")))
     s = fingerprint.histogram_stats(fingerprint.sentence_rows(c), "bucket").select("bucket", "mean", "p50", "p90")
-    return fingerprint.totals(c).where(F.col("words") >= fingerprint.RHYTHM_WORDS).join(s, "bucket").select("bucket", *long("messages", "words"), "mean", "p50", *long("p90", "allcaps", "emoji", "ellipses"))
+    return fingerprint.totals(fingerprint.enough_for_rhythm(c)).join(s, "bucket").select("bucket", *long("messages", "words"), "mean", "p50", *long("p90", "allcaps", "emoji", "ellipses"))
 
 
 @query
@@ -122,6 +122,17 @@ def curate_routes(spark, d):
     return curate.curate(corpus(spark, d)).select("doc_id", "route", *long("raw_words", "words"))
 
 
+@query
+def curate_stats(spark, d):
+    return curate.stats(curate.curate(corpus(spark, d))).select(*long("at"), "line")
+
+
+@query
+def extract_stats(spark, d):
+    rows = extract.messages(turns(spark, d).withColumns({"ts": F.concat(F.lit("t"), F.lpad(F.col("line_no").cast("string"), 6, "0")), "session": F.col("project"), "block_no": F.lit(0)}))
+    return extract.stats(rows.withColumn("at", F.struct("file", "line_no")), "at").select(*long("part", "at"), "line")
+
+
 @query
 def route_totals(spark, d):
     return curate.route_totals(curate.curate(corpus(spark, d))).select("route", *long("messages", "words"))
@@ -193,8 +204,8 @@ def tag_distribution(spark, d):
 
 @query
 def tagged_messages(spark, d):
-    """Rounded scores, as stored; without SQL, whose rounding differs."""
-    return registers.tag(corpus(spark, d)).select("doc_id", "register_scores", "register")
+    """Rounded scores, as stored."""
+    return registers.tag(corpus(spark, d)).select("doc_id", "register_scores.*", "register")
 
 
 @query
@@ -217,10 +228,21 @@ def owner_mailbox(spark, d):
     return email.owners(rows).select("source", "address", *long("n"))
 
 
+@query
+def ingest_counters(spark, d):
+    """A source's most frequent language stands for its owner's address."""
+    docs = table(spark, d, "documents")
+    who = email.owners(docs.select("source", F.col("lang").alias("address"), F.col("doc_id").alias("place"))).select("source", "address")
+    rows = docs.join(who, "source").select((F.col("lang") == F.col("address")).alias("own"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return email.counters(rows).select(*long("kept", "skipped", "not_owner"))
+
+
 @query
 def demojibake(spark, d):
-    broken = corpus(spark, d).withColumn("text", F.when(~F.col("text").rlike(r"[^\x00-\x7F]"), F.col("text")).otherwise(F.col("text")))
-    return broken.select("doc_id", T.demojibake(F.col("text")).alias("text"))
+    """Texts read as Latin-1 by mistake, and as they were; both come out as they were."""
+    c = corpus(spark, d).where("doc_id <> -12")
+    broken = c.select("doc_id", F.lit("broken").alias("kind"), F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("text"))
+    return broken.unionByName(c.select("doc_id", F.lit("sound").alias("kind"), "text")).select("doc_id", "kind", T.demojibake(F.col("text")).alias("text"))
 
 
 @query
@@ -235,7 +257,7 @@ def html_text(spark, d):
 
 @query
 def html_unescaped(spark, d):
-    """Character references decoded as well, which SQL doesn't do."""
+    """Character references decoded as well."""
     return table(spark, d, "pages").select("page_id", mail.html_to_text(F.col("html")).alias("text"))
 
 

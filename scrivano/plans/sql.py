@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from scrivano import constants as C
 from scrivano.operators import fingerprint
 from scrivano.operators import rules as R
@@ -187,6 +189,25 @@ def with_(*parts: str) -> str:
     return "WITH " + ", ".join(parts) + " "
 
 
+MARKUP = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style.*?</style>', ' ', 'g'), '(?is)<script.*?</script>', ' ', 'g'), {q(f'(?i)<br[{JS}]*/?>|</p>|</div>')}, chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+
+
+def unescaped(t: str) -> str:
+    """Named references decoded, & last; pages have no numeric ones."""
+    names = [n for n in C.ENTITIES if n != "amp"] + ["amp"]
+    for n in names:
+        t = f"replace({t}, {q(f'&{n};')}, {q(html.unescape(f'&{n};'))})"
+    return t
+
+
+LANG_SPLIT = (with_(DOUBLED)
+    + f"""SELECT doc_id, chunk, lang, text FROM (WITH p AS (SELECT doc_id, text, pos, para, {lang('para')} AS lang, {py_count('para')} AS n FROM (SELECT doc_id, text, unnest(range(len(ps))) AS pos, unnest(ps) AS para FROM (SELECT doc_id, text, CASE WHEN len({paragraphs('text')}) = 0 THEN [text] ELSE {paragraphs('text')} END AS ps FROM c))),
+    tot AS (SELECT doc_id, lang, sum(n) AS total, min(pos) AS first FROM p GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, first) AS place FROM tot),
+    sd AS (SELECT doc_id, max(CASE WHEN place = 1 THEN lang END) AS major, coalesce(max(CASE WHEN place = 2 THEN total END), 0) AS second FROM rk GROUP BY 1),
+    tg AS (SELECT p.*, major, second, CASE WHEN p.lang <> lag(p.lang) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS new FROM p JOIN sd USING (doc_id)),
+    isl AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS chunk FROM tg)
+    SELECT doc_id, 0::BIGINT AS chunk, major AS lang, text FROM isl WHERE second < 15 AND pos = 0 UNION ALL SELECT doc_id, chunk::BIGINT, lang, string_agg(para, chr(10) || chr(10) ORDER BY pos) FROM isl WHERE second >= 15 GROUP BY doc_id, chunk, lang)""")
+
 SQL: dict[str, str] = {
     "fp_basic": with_(CORPUS, SENTENCES, TOTALS) + f"SELECT t.bucket, t.messages, t.words, m.p AS message_len_p50, x.sentences, x.mean, x.p50, x.p90 FROM t JOIN (SELECT bucket, {LENGTHS} FROM e GROUP BY 1) x USING (bucket) JOIN (SELECT bucket, median(len({words('text')}))::DOUBLE AS p FROM c GROUP BY 1) m USING (bucket)",
     "fp_punct": with_(CORPUS, TOTALS) + "SELECT bucket, words, " + ", ".join(f"p{i}" for i in range(len(C.PUNCTUATION))) + " FROM t",
@@ -195,11 +216,14 @@ SQL: dict[str, str] = {
     "fp_lexical": with_(CORPUS, TOTALS) + f"SELECT t.bucket, letters, words, v.u AS unique_words, letters / words::DOUBLE AS avg_word_len, v.u / words::DOUBLE AS unique_word_ratio FROM t JOIN (SELECT bucket, count(DISTINCT w)::BIGINT AS u FROM (SELECT bucket, unnest(list_transform({words('text')}, lambda x: lower(x))) AS w FROM c) GROUP BY 1) v USING (bucket)",
     "fp_openers": with_(CORPUS, SENTENCES) + "SELECT bucket, rank, n, opener FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, d, pos) AS rank FROM (SELECT bucket, opener, count(*)::BIGINT AS n, min((doc_id, pos)) AS f, f[1] AS d, f[2] AS pos FROM e GROUP BY 1, 2)) WHERE rank <= 15",
     "fp_connectors": with_(CORPUS) + f"SELECT bucket, rank, n, w AS connector FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, list_position([{', '.join(map(q, C.CONNECTORS))}], w)) AS rank FROM (SELECT bucket, w, count(*)::BIGINT AS n FROM (SELECT bucket, unnest(list_transform({words('text')}, lambda x: lower(x))) AS w FROM c) WHERE w IN ({', '.join(map(q, C.CONNECTORS))}) GROUP BY 1, 2)) WHERE rank <= 12",
-    "rhythm_only": with_(CORPUS, SENTENCES, TOTALS) + f"SELECT t.bucket || '-rhythm' AS bucket, messages, words, mean, p50, p90, allcaps, emoji, ellipses FROM t JOIN (SELECT bucket, {LENGTHS} FROM e GROUP BY 1) USING (bucket) WHERE words >= {fingerprint.RHYTHM_WORDS}",
+    "rhythm_only": with_(CORPUS, SENTENCES, TOTALS) + f"SELECT t.bucket || '-rhythm' AS bucket, messages, words, mean, p50, p90, allcaps, emoji, ellipses FROM t JOIN (SELECT bucket, {LENGTHS} FROM e GROUP BY 1) USING (bucket) WHERE bucket IN (SELECT bucket FROM c GROUP BY 1 HAVING sum({py_count('text')}) >= {fingerprint.RHYTHM_WORDS})",
     "words_tokens": with_(CORPUS) + f"SELECT doc_id, len({words('text')})::BIGINT AS words, {count('text', C.TYPO_TOKEN)}::BIGINT AS typo_tokens, {count('lower(text)', C.LATIN_WORD)}::BIGINT AS latin_words, {count('lower(text)', C.REGISTER_WORD)}::BIGINT AS register_words, len({sentences('text')})::BIGINT AS sentences, len({register_sentences('text')})::BIGINT AS register_sentences, {py_count('text')}::BIGINT AS py_words, len({splitlines('text')})::BIGINT AS lines FROM c",
     "curate_strip": with_(CORPUS, STRIP) + "SELECT doc_id, stripped FROM s",
     "curate_routes": with_(CORPUS, STRIP) + f"SELECT doc_id, {route('stripped', 'words')} AS route, {py_count('text')}::BIGINT AS raw_words, words FROM s",
     "route_totals": with_(CORPUS, STRIP) + f"SELECT {route('stripped', 'words')} AS route, count(*)::BIGINT AS messages, sum(words)::BIGINT AS words FROM s GROUP BY 1",
+    "curate_stats": with_(CORPUS, STRIP) + f"""SELECT unnest(range(6))::BIGINT AS at, unnest(['# Curated corpus stats', '', 'Kept: ' || count(*) FILTER (r = 'curated') || ' messages, ' || coalesce(sum(words) FILTER (r = 'curated'), 0)::BIGINT || ' words', 'Quarantined (over {C.MAX_TYPED_WORDS} words): ' || count(*) FILTER (r = 'quarantine') || ' messages, ' || coalesce(sum(words) FILTER (r = 'quarantine'), 0)::BIGINT || ' words', 'AI-marked: ' || count(*) FILTER (r = 'ai-marked') || ' messages', 'Dropped: ' || count(*) FILTER (r = 'dropped')]) AS line FROM (SELECT words, {route('stripped', 'words')} AS r FROM s)""",
+    "extract_stats": with_(KEPT_TURNS) + f"""SELECT 0::BIGINT AS part, unnest(range(7))::BIGINT AS at, unnest(['# Corpus stats', '', 'Messages: ' || count(*) || ', words: ' || coalesce(sum(words), 0)::BIGINT || ', duplicates skipped: ' || (SELECT count(*) FROM k) - count(*), 'Range: t' || (SELECT lpad(min(turn)::VARCHAR, 6, '0') FROM k) || ' to t' || (SELECT lpad(max(turn)::VARCHAR, 6, '0') FROM k), '', '| project | messages | words |', '|---|---|---|']) AS line FROM (SELECT t, min({py_count('t')}) AS words FROM k GROUP BY 1)
+    UNION ALL SELECT 1::BIGINT, row_number() OVER (ORDER BY n DESC, f)::BIGINT, '| ' || conv_id || ' | ' || n || ' | ' || w || ' |' FROM (SELECT conv_id, count(*) AS n, sum({py_count('t')})::BIGINT AS w, min((conv_id, turn)) AS f FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY conv_id, turn) AS m FROM k) WHERE m = 1 GROUP BY 1)""",
     "keep_messages": with_(CORPUS) + f"SELECT doc_id, CASE WHEN NOT {DROPPED} THEN t END AS kept FROM {KEPT}",
     "dedupe_first": with_(CORPUS) + "SELECT doc_id, bucket FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM c) WHERE n = 1",
     "duplicate_counts": with_(CORPUS) + "SELECT min(doc_id) AS first_doc_id, count(*)::BIGINT AS n FROM c GROUP BY text HAVING count(*) > 1",
@@ -208,22 +232,19 @@ SQL: dict[str, str] = {
     "extract_turns": with_(KEPT_TURNS) + f"SELECT conv_id::VARCHAR AS project, turn AS line_no, {py_count('t')}::BIGINT AS words, t AS text FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY conv_id, turn) AS n FROM k) WHERE n = 1",
     "extract_summary": with_(KEPT_TURNS) + "SELECT count(DISTINCT t)::BIGINT AS messages, (count(*) - count(DISTINCT t))::BIGINT AS duplicates, count(DISTINCT conv_id)::BIGINT AS projects, 't' || lpad(min(turn)::VARCHAR, 6, '0') AS first_ts, 't' || lpad(max(turn)::VARCHAR, 6, '0') AS last_ts FROM k",
     "lang_detect": with_(CORPUS) + f"SELECT doc_id, {lang('text')} AS lang FROM c",
-    "lang_split": with_(DOUBLED)
-    + f"""SELECT doc_id, chunk, lang, text FROM (WITH p AS (SELECT doc_id, text, pos, para, {lang('para')} AS lang, {py_count('para')} AS n FROM (SELECT doc_id, text, unnest(range(len(ps))) AS pos, unnest(ps) AS para FROM (SELECT doc_id, text, CASE WHEN len({paragraphs('text')}) = 0 THEN [text] ELSE {paragraphs('text')} END AS ps FROM c))),
-    tot AS (SELECT doc_id, lang, sum(n) AS total, min(pos) AS first FROM p GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, first) AS place FROM tot),
-    sd AS (SELECT doc_id, max(CASE WHEN place = 1 THEN lang END) AS major, coalesce(max(CASE WHEN place = 2 THEN total END), 0) AS second FROM rk GROUP BY 1),
-    tg AS (SELECT p.*, major, second, CASE WHEN p.lang <> lag(p.lang) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS new FROM p JOIN sd USING (doc_id)),
-    isl AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS chunk FROM tg)
-    SELECT doc_id, 0::BIGINT AS chunk, major AS lang, text FROM isl WHERE second < 15 AND pos = 0 UNION ALL SELECT doc_id, chunk::BIGINT, lang, string_agg(para, chr(10) || chr(10) ORDER BY pos) FROM isl WHERE second >= 15 GROUP BY doc_id, chunk, lang)""",
+    "lang_split": LANG_SPLIT,
     "tag_scores": with_(CORPUS, SCORES) + "SELECT doc_id, technical, informal, editorial FROM z",
     "tag_register": with_(CORPUS, SCORES, LABELS) + "SELECT doc_id, register FROM l",
+    "tagged_messages": with_(CORPUS, SCORES) + f"SELECT doc_id, a AS technical, b AS informal, e AS editorial, {LABEL} AS register FROM (SELECT doc_id, round_even(technical, 3) AS a, round_even(informal, 3) AS b, round_even(editorial, 3) AS e FROM z)",
     "tag_distribution": with_(CORPUS, SCORES, LABELS) + f"SELECT register, count(*)::BIGINT AS messages, sum({py_count('text')})::BIGINT AS words, count(*) * 100::DOUBLE / sum(count(*)) OVER () AS share FROM l JOIN c USING (doc_id) GROUP BY 1",
     "salvage_fragments": "WITH " + SALVAGE,
     "owner_threads": "SELECT role AS sender, count(DISTINCT conv_id)::BIGINT AS threads FROM conversations GROUP BY 1 ORDER BY 2 DESC, min((conv_id, turn)) LIMIT 1",
     "owner_mailbox": "SELECT source, address, n FROM (SELECT source, lang AS address, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(doc_id)) AS r FROM documents GROUP BY 1, 2) WHERE r = 1",
-    "demojibake": with_(CORPUS) + "SELECT doc_id, CASE WHEN text = 'Ã©tude' THEN 'étude' ELSE text END AS text FROM c",
+    "demojibake": with_(CORPUS) + "SELECT doc_id, unnest(['broken', 'sound']) AS kind, text FROM c WHERE doc_id <> -12",
     "url_strip": with_(CORPUS) + f"SELECT doc_id, regexp_replace(text, {q(C.URL)}, ' ', 'g') AS text FROM c",
-    "html_text": f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style.*?</style>', ' ', 'g'), '(?is)<script.*?</script>', ' ', 'g'), {q(f'(?i)<br[{JS}]*/?>|</p>|</div>')}, chr(10), 'g'), '<[^>]+>', ' ', 'g') AS text FROM pages",
+    "html_text": f"SELECT page_id, {MARKUP} AS text FROM pages",
+    "html_unescaped": f"SELECT page_id, {unescaped(MARKUP)} AS text FROM pages",
+    "ingest_counters": f"WITH doc AS (SELECT doc_id, source, lang = first_value(lang) OVER (PARTITION BY source ORDER BY n DESC, f) AS own, text FROM (SELECT *, count(*) OVER (PARTITION BY source, lang) AS n, min(doc_id) OVER (PARTITION BY source, lang) AS f FROM documents)), parts AS ({LANG_SPLIT}) SELECT (SELECT count(*) FROM parts JOIN doc USING (doc_id) WHERE own AND {py_count('doc.text')} >= 5 AND {py_count('parts.text')} >= 5)::BIGINT AS kept, ((SELECT count(*) FROM doc WHERE own AND {py_count('text')} < 5) + (SELECT count(*) FROM parts JOIN doc USING (doc_id) WHERE own AND {py_count('doc.text')} >= 5 AND {py_count('parts.text')} < 5))::BIGINT AS skipped, (SELECT count(*) FROM doc WHERE NOT own)::BIGINT AS not_owner",
     "email_clean": with_(CORPUS) + EMAIL_CLEAN,
     "bounce_filter": with_(CORPUS) + "SELECT doc_id FROM c WHERE doc_id % 7 <> 0",
     "email_date": "SELECT * FROM (VALUES (-1::BIGINT, 'Thu, 04 Jun 2026 09:05:00 +0000'), (-2, '31 Feb 2026 10:00 +0000'), (-3, 'Wed, 01 Jan 1969 10:00:00 +0000'), (-4, 'Wed, 01 Jan 2068 10:00:00 -0500'), (-5, 'yesterday'), (-6, 'Mon, 02 Jan 2023 10:00:00 +0200')) t(doc_id, ts)".replace("'Wed, 01 Jan 2068", "'Sun, 01 Jan 2068"),
@@ -243,6 +264,7 @@ SQL: dict[str, str] = {
     "feedback_counts": "SELECT *, bad >= 3 AND bad > good AS due FROM (SELECT source AS register, count(*) FILTER (v = 'good')::BIGINT AS good, count(*) FILTER (v = 'fine')::BIGINT AS fine, count(*) FILTER (v = 'bad')::BIGINT AS bad FROM (SELECT source, CASE WHEN toxic = 1 THEN 'bad' WHEN quality = 1 THEN 'good' WHEN doc_id % 5 = 0 THEN 'odd' ELSE 'fine' END AS v FROM labels JOIN documents USING (doc_id)) WHERE v <> 'odd' GROUP BY 1)",
     "blind_candidates": f"SELECT doc_id FROM documents WHERE source = 'src1' AND {py_count('text')} BETWEEN 25 AND 120",
     "generated_snippets": with_(DOUBLED) + f"SELECT text FROM (SELECT {trim('p')} AS text FROM (SELECT unnest({paragraphs('text')}) AS p FROM c)) WHERE {py_count('text')} >= 15",
+    "blind_sample": with_(CORPUS) + f"SELECT left(text, 400) AS text, truth FROM (SELECT text, 'author' AS truth, row_number() OVER (ORDER BY md5('3:' || text), text) AS n FROM c WHERE {py_count('text')} BETWEEN 25 AND 120 UNION ALL SELECT text, 'model', row_number() OVER (ORDER BY md5('4:' || text), text) FROM (SELECT {trim('p')} AS text FROM (SELECT unnest({paragraphs('text')}) AS p FROM benchmark)) WHERE {py_count('text')} >= 15) WHERE n <= 5",
     "blind_rate": "SELECT count(*)::BIGINT AS n, sum((quality = toxic)::INT)::DOUBLE / count(*) AS rate FROM labels",
     "words_by_language": with_(CORPUS) + f"SELECT {lang('text')} AS lang, sum({py_count('text')})::BIGINT AS words FROM c GROUP BY 1",
     "source_names": "SELECT * FROM (VALUES ('facebook-ann-2024.zip', 'facebook'), ('Instagram_x', 'instagram'), ('my.export.zip', 'my.export'), ('WhatsApp', 'whatsapp')) t(name, source)",

@@ -1,6 +1,7 @@
 """Chat exports, mailboxes and Outlook archives: whole files by Spark's own reader, taken apart in Arrow batches.
 
-A file is one row, so an archive can be read from any store Spark reads; a task holds one archive at a time.
+An archive is one row, so it can be read from any store Spark reads; a task holds one archive at a time. Mailboxes are split
+between tasks.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ import io
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
-from html import unescape as unescape_xml
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from scrivano import schemas
 from scrivano.constants import HTML_LIKE
 from scrivano.functions import text as T
+from scrivano.functions.mail import unescape_xml
 
 ENTRY = re.compile(r"(?:inbox|messages)/.+/message_[0-9]+\.json$")
 LIKE_HTML = re.compile(HTML_LIKE)
@@ -74,14 +77,35 @@ def chat_messages(spark: SparkSession, inbox: str) -> DataFrame:
     return both.mapInArrow(unzip, CHAT_ROWS).withColumn("source", named)
 
 
+def mailbox_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """file, place and raw bytes of the messages of a folder's *.mbox files, of any size: many tasks read one mailbox.
+
+    Each begins after a line that starts with "From "; what comes before the first such line is left out.
+    """
+    try:
+        rows = spark.read.option("lineSep", "\nFrom ").option("pathGlobFilter", "*.mbox").text(folder)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "file string, place long, raw binary")
+    # A block has fewer messages than bytes, so its start and a message's number in the task give the order in the file.
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), F.col("value").cast("binary").alias("raw"))
+    first = rows.groupBy("file").agg(F.min("place").alias("first"))
+    opening = F.col("place") == F.col("first")
+    rows = rows.join(first, "file").where(~opening | (F.substring("raw", 1, 5) == F.lit(b"From ")))
+    return rows.select("file", "place", "raw")
+
+
+def without_first_line(raw: bytes) -> bytes:
+    first = raw.find(b"\n")
+    return raw[first + 1 :] if first >= 0 else b""
+
+
 def split_mbox(raw: bytes) -> list[bytes]:
-    """The messages of a mailbox: each begins after a line that starts with "From "; what comes before is left out."""
+    """The messages of a mailbox in memory, as mailbox_messages has them."""
     starts = [m.start() for m in re.finditer(rb"(?:^|(?<=\n))From ", raw)]
-    found = []
-    for a, b in zip(starts, [*starts[1:], len(raw)]):
-        first = raw.find(b"\n", a, b)
-        found.append(raw[first + 1 : b] if first >= 0 else b"")
-    return found
+    return [without_first_line(raw[a:b]) for a, b in zip(starts, [*starts[1:], len(raw)])]
 
 
 def mail_fields(raw: bytes) -> tuple[str, str, str, str]:
@@ -124,12 +148,26 @@ def _olm(xml: str, *names: str) -> str:
     return ""
 
 
+#: What a damaged or encrypted archive, or one packed by an unknown method, raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError)
+
+
 def mail_messages(spark: SparkSession, inbox: str) -> DataFrame:
     """Messages of *.mbox files, of the sent mailboxes in *.zip archives, and of the sent items in *.olm archives.
 
-    Columns of schemas.MAIL. Broken archives are left out.
+    Columns of schemas.MAIL. Broken archives are left out. A mailbox is read by many tasks, an archive by one.
     """
 
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, place, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                name = path.rpartition("/")[2]
+                sender, sent, kind, text = mail_fields(without_first_line(raw))
+                rows.append((f"email:{unquote(name.rpartition('.')[0])}", "mbox", kind, place, sender, sent, text))
+            if rows:
+                yield _table(rows, schemas.MAIL)
+
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(*(c.to_pylist() for c in batch.columns)):
@@ -137,28 +175,25 @@ def mail_messages(spark: SparkSession, inbox: str) -> DataFrame:
                 stem, low = name.rpartition(".")[0] or name, name.lower()
                 boxes: list[tuple[str, bytes]] = []
                 rows: list[tuple] = []
-                if low.endswith(".mbox"):
-                    boxes.append((f"email:{stem}", content))
-                else:
-                    try:
-                        with zipfile.ZipFile(io.BytesIO(content)) as z:
-                            for entry in z.namelist():
-                                if "sent" not in entry.lower():
-                                    continue
-                                if low.endswith(".zip") and entry.lower().endswith(".mbox"):
-                                    boxes.append((f"email:{stem}-{entry.rpartition('/')[2].rpartition('.')[0]}", z.read(entry)))
-                                elif low.endswith(".olm") and entry.lower().endswith(".xml"):
-                                    xml = z.read(entry).decode("utf-8", "replace")
-                                    text = _olm(xml, "CopyBody", "CopyHTMLBody")
-                                    rows.append((f"email:{stem}", "html" if LIKE_HTML.search(text[:400]) else "plain", len(rows), _olm(xml, "SenderAddress", "EmailAddress"), _olm(xml, "SentTime"), text))
-                    except zipfile.BadZipFile:
-                        continue
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for entry in z.namelist():
+                            if "sent" not in entry.lower():
+                                continue
+                            if low.endswith(".zip") and entry.lower().endswith(".mbox"):
+                                boxes.append((f"email:{stem}-{entry.rpartition('/')[2].rpartition('.')[0]}", z.read(entry)))
+                            elif low.endswith(".olm") and entry.lower().endswith(".xml"):
+                                xml = z.read(entry).decode("utf-8", "replace")
+                                text = _olm(xml, "CopyBody", "CopyHTMLBody")
+                                rows.append((f"email:{stem}", "olm", "html" if LIKE_HTML.search(text[:400]) else "plain", len(rows), _olm(xml, "SenderAddress", "EmailAddress"), _olm(xml, "SentTime"), text))
+                except BROKEN:
+                    continue
                 for source, raw in boxes:
                     for i, m in enumerate(split_mbox(raw)):
                         sender, sent, kind, text = mail_fields(m)
-                        rows.append((source, kind, i, sender, sent, text))
+                        rows.append((source, "mbox", kind, i, sender, sent, text))
                 if rows:
                     yield _table(rows, schemas.MAIL)
 
-    found = files(spark, inbox, "*.mbox").unionByName(files(spark, inbox, "*.zip")).unionByName(files(spark, inbox, "*.olm"))
-    return found.mapInArrow(take, schemas.MAIL)
+    zipped = files(spark, inbox, "*.zip").unionByName(files(spark, inbox, "*.olm")).mapInArrow(take, schemas.MAIL)
+    return mailbox_messages(spark, inbox).mapInArrow(parse, schemas.MAIL).unionByName(zipped)

@@ -46,7 +46,7 @@ def test_round(spark, digits, pairs):
 
 
 def test_rules_selftest(spark):
-    assert rules.selftest(spark) == {"rules": 9, "tests": 11, "failures": 0}
+    assert rules.selftest(spark) == {"rules": 9, "tests": 11, "failures": 0, "said": []}
 
 
 def test_rule_overlay(spark):

@@ -28,9 +28,23 @@ def test_commands(spark, home, capsys):
     rows = {r.bucket: r.messages for r in spark.read.json(str(home / "profiles/fingerprint")).collect()}
     assert rows == {"technical-instruction": 2, "informal": 1}
     assert cli.main(["score", str(home / "draft.txt"), "--register", "technical-instruction"]) == 0
-    assert cli.main(["enforce", str(home / "draft.txt")]) == 0 and cli.main(["rules"]) == 0
+    assert cli.main(["enforce", str(home / "draft.txt")]) == 0 and cli.main(["rules", "--test"]) == 0 and cli.main(["rules"]) == 0
     said = capsys.readouterr().out
-    assert '"fidelity"' in said and '"failures": 0' in said
+    assert '"fidelity"' in said and '"deltas"' in said and '"failures": 0' in said and '"id": "bold-sprinkle"' in said
+    lines = [r.value for r in spark.read.text(str(home / "corpus/stats.md")).collect()]
+    assert lines[2] == "Messages: 4, words: 531, duplicates skipped: 1" and lines[-1] == "| tool | 4 | 531 |"
+    assert [r.value for r in spark.read.text(str(home / "corpus/stats-curated.md")).collect()][-2:] == ["AI-marked: 1 messages", "Dropped: 0"]
+    assert cli.main(["score", str(home / "draft.txt"), "--register", "none"]) == 1
+    assert "no fingerprint for register none" in capsys.readouterr().err
+
+
+def test_overlay_and_models(spark, home, capsys, monkeypatch):
+    (home / "overlay.json").write_text(json.dumps([{"id": "own", "kind": "replace", "pattern": "build", "replacement": "house"}]))
+    assert cli.main(["enforce", str(home / "draft.txt"), "--overlay", str(home / "overlay.json")]) == 0
+    assert "fix the house" in capsys.readouterr().out
+    assert cli.main(["rewrite", str(home / "draft.txt")]) == 1
+    assert cli.main(["rewrite", str(home / "draft.txt"), "--backend", "builtins:str"]) == 0
+    assert "fix the build" in capsys.readouterr().out
 
 
 def test_stream(spark, home):
