@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scrivano import config, schemas
 from scrivano.operators import chat, curate, email, extract, fingerprint, registers, rewrite, rules, score, typos
-from scrivano.sources import corpus
+from scrivano.sources import archives, corpus
 
 
 class Failed(Exception):
@@ -93,7 +93,7 @@ def run_chat(spark, where, args) -> None:
 def run_email(spark, where, args) -> None:
     inbox = args.path or f"{where.corpus}/inbox"
     email.ingest(spark, inbox).write.mode("overwrite").json(f"{where.corpus}/email-sent.jsonl")
-    counted = email.counters(email.judged(spark, inbox)).first()
+    counted = email.counters(email.judged(archives.mail_messages(spark, inbox))).first()
     print(json.dumps(counted.asDict()))
 
 

@@ -26,22 +26,26 @@ def records(messages: DataFrame) -> DataFrame:
     return parts.where(F.col("words") >= LEAST_WORDS)
 
 
-def judged(spark: SparkSession, inbox: str) -> DataFrame:
-    """Every message with `own`: whether its sender is its source's owner. In Outlook archives empty senders are no owners.
+def judged(rows: DataFrame) -> DataFrame:
+    """Messages (of archives.mail_messages) with `own`: whether the sender is the source's owner.
 
-    Only owners' bodies are cleaned; the others' text is null.
+    In Outlook archives empty senders are no owners. Only owners' bodies are cleaned; the others' text is null.
     """
-    rows = archives.mail_messages(spark, inbox).withColumns({"address": mail.from_address(F.col("sender")), "key": F.concat_ws("\u0001", "source", "place")})
+    rows = rows.withColumns({"address": mail.from_address(F.col("sender")), "key": F.concat_ws("\u0001", "source", "place")})
     who = owners(rows.where((F.col("address") != "") | (F.col("archive") != "olm"))).select("source", F.col("address").alias("owner"))
     body = F.when(F.col("kind") == "html", mail.html_to_text(F.col("body"))).otherwise(F.col("body"))
     rows = rows.join(who, "source", "left").withColumn("own", F.col("address") == F.coalesce("owner", F.lit("")))
     return rows.select("key", "source", "own", mail.format_date(F.col("sent")).alias("ts"), F.when(F.col("own"), mail.clean(body)).alias("text"))
 
 
+def ingest_rows(rows: DataFrame) -> DataFrame:
+    own = judged(rows).where("own")
+    return records(own.select("key", "text")).join(own.select("key", "source", "ts"), "key").select("ts", "source", "lang", "words", "text")
+
+
 def ingest(spark: SparkSession, inbox: str) -> DataFrame:
     """ts, source, lang, words, text of what each source's owner wrote."""
-    own = judged(spark, inbox).where("own")
-    return records(own.select("key", "text")).join(own.select("key", "source", "ts"), "key").select("ts", "source", "lang", "words", "text")
+    return ingest_rows(archives.mail_messages(spark, inbox))
 
 
 def counters(rows: DataFrame) -> DataFrame:

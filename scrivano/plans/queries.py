@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrivano import constants as C
+from scrivano import schemas
 from scrivano.functions import lang, mail
 from scrivano.functions import text as T
 from scrivano.functions.numbers import py_round
 from scrivano.operators import curate, email, extract, fingerprint, registers, rewrite, rules, score, typos
 from scrivano.operators import chat as chat_ops
 from scrivano.plans import fixtures
+from scrivano.sources import archives, shared
+from scrivano.sources import corpus as stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -441,3 +444,64 @@ def register_shares(spark, d):
     """Share of each language of all documents: a total beside groups."""
     counts = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
+
+
+@query
+def transcript_files(spark, d):
+    """User turns as transcript files of ten projects, read and cleaned as any transcripts are."""
+    rows = table(spark, d, "conversations").where("role = 'user'").withColumn("project", F.concat(F.lit("p"), (F.col("conv_id") % 10).cast("string")))
+    line = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.col("text").alias("content")).alias("message"), F.concat(F.lit("t"), "turn").alias("timestamp")))
+    path = shared.new_path(spark, "transcripts")
+    rows.repartition(10, "project").sortWithinPartitions("project", "conv_id", "turn").select("project", line.alias("value")).write.partitionBy("project").text(path)
+    shared.rename_files(spark, path, ".jsonl")
+    return extract.extract(spark, path).select("project", *long("words"), "text", "ts")
+
+
+@query
+def mailbox_files(spark, d):
+    """Documents as mailboxes, a file a source and an address a language, ingested as any mail is.
+
+    As in any mailbox, lines that begin with From are quoted; quoted lines aren't the author's.
+    """
+    head = "@x.org\nDate: Thu, 4 Jun 2026 9:05:00 GMT\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"
+    docs = table(spark, d, "documents").where("text is not null")
+    mails = docs.select("source", "doc_id", F.concat(F.lit("From x\nFrom: "), "lang", F.lit(head), F.regexp_replace("text", "(?m)^From ", ">From ")).alias("value"))
+    path = shared.new_path(spark, "mail")
+    mails.repartition(10, "source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
+    shared.rename_files(spark, path, ".mbox")
+    rows = archives.mail_messages(spark, f"{path}/source=*").withColumn("source", F.regexp_extract("file", "source=([^/]*)/", 1))
+    return email.ingest_rows(rows).select("source", "ts", "lang", *long("words"), "text")
+
+
+@query
+def route_files(spark, d):
+    """The routes of curation as they are stored, read again by their schemas."""
+    rows = corpus(spark, d).select(F.lit("t").alias("ts"), F.col("bucket").alias("project"), F.lit("s").alias("session"), T.py_word_count(F.col("text")).alias("words"), "text")
+    path = shared.new_path(spark, "routes")
+    curate.write_routes(curate.curate(rows), path)
+    parts = [stored.read_jsonl(spark, f"{path}/{name}", schema).select(F.lit(name).alias("route"), "project", "raw_words", "words") for name, schema in zip(curate.ROUTES, (schemas.CURATED, schemas.CURATED, schemas.AI_MARKED))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("route", "project").agg(F.count("*").alias("messages"), F.sum("raw_words").alias("raw_words"), F.sum("words").alias("words"))
+
+
+@query
+def profile_files(spark, d):
+    """Fingerprints as they are stored, read again by their schema, and the references that scores take from them."""
+    path = shared.new_path(spark, "profiles")
+    stored.write_profiles(fingerprint.fingerprint(corpus(spark, d)), path)
+    prints = spark.read.schema(schemas.PROFILE).json(path)
+    refs = score.references(prints).withColumnRenamed("register", "bucket").select("bucket", *(c for c in ("ref_sent_p50",)))
+    return prints.select("bucket", *long("messages", "words"), "message_len_p50", F.size("top_sentence_openers").cast("long").alias("openers")).join(refs, "bucket")
+
+
+@query
+def feedback_file(spark, d):
+    """Verdicts appended to a file in two parts, and counted."""
+    verdict = F.when(F.col("toxic") == 1, "bad").when(F.col("quality") == 1, "good").otherwise("fine")
+    rows = table(spark, d, "labels").select(F.concat(F.lit("r"), F.col("doc_id") % 4).alias("register"), verdict.alias("verdict"), F.lit("n" * 600).alias("note"), "doc_id")
+    path = shared.new_path(spark, "feedback")
+    for part in (0, 1):
+        stored.append_feedback(rewrite.feedback_rows(rows.where(F.col("doc_id") % 2 == part)), path)
+    read = stored.read_jsonl(spark, path, schemas.FEEDBACK)
+    notes = read.groupBy("register").agg(F.max(F.length("note")).cast("long").alias("longest_note"))
+    return rewrite.feedback_counts(read).join(notes, "register")

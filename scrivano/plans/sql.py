@@ -200,13 +200,15 @@ def unescaped(t: str) -> str:
     return t
 
 
-LANG_SPLIT = (with_(DOUBLED)
-    + f"""SELECT doc_id, chunk, lang, text FROM (WITH p AS (SELECT doc_id, text, pos, para, {lang('para')} AS lang, {py_count('para')} AS n FROM (SELECT doc_id, text, unnest(range(len(ps))) AS pos, unnest(ps) AS para FROM (SELECT doc_id, text, CASE WHEN len({paragraphs('text')}) = 0 THEN [text] ELSE {paragraphs('text')} END AS ps FROM c))),
+LANG_SPLIT_OF_C = (
+    f"""SELECT doc_id, chunk, lang, text FROM (WITH p AS (SELECT doc_id, text, pos, para, {lang('para')} AS lang, {py_count('para')} AS n FROM (SELECT doc_id, text, unnest(range(len(ps))) AS pos, unnest(ps) AS para FROM (SELECT doc_id, text, CASE WHEN len({paragraphs('text')}) = 0 THEN [text] ELSE {paragraphs('text')} END AS ps FROM c))),
     tot AS (SELECT doc_id, lang, sum(n) AS total, min(pos) AS first FROM p GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, first) AS place FROM tot),
     sd AS (SELECT doc_id, max(CASE WHEN place = 1 THEN lang END) AS major, coalesce(max(CASE WHEN place = 2 THEN total END), 0) AS second FROM rk GROUP BY 1),
     tg AS (SELECT p.*, major, second, CASE WHEN p.lang <> lag(p.lang) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS new FROM p JOIN sd USING (doc_id)),
     isl AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS chunk FROM tg)
     SELECT doc_id, 0::BIGINT AS chunk, major AS lang, text FROM isl WHERE second < 15 AND pos = 0 UNION ALL SELECT doc_id, chunk::BIGINT, lang, string_agg(para, chr(10) || chr(10) ORDER BY pos) FROM isl WHERE second >= 15 GROUP BY doc_id, chunk, lang)""")
+LANG_SPLIT = with_(DOUBLED) + LANG_SPLIT_OF_C
+
 
 SQL: dict[str, str] = {
     "fp_basic": with_(CORPUS, SENTENCES, TOTALS) + f"SELECT t.bucket, t.messages, t.words, m.p AS message_len_p50, x.sentences, x.mean, x.p50, x.p90 FROM t JOIN (SELECT bucket, {LENGTHS} FROM e GROUP BY 1) x USING (bucket) JOIN (SELECT bucket, median(len({words('text')}))::DOUBLE AS p FROM c GROUP BY 1) m USING (bucket)",
@@ -270,5 +272,10 @@ SQL: dict[str, str] = {
     "source_names": "SELECT * FROM (VALUES ('facebook-ann-2024.zip', 'facebook'), ('Instagram_x', 'instagram'), ('my.export.zip', 'my.export'), ('WhatsApp', 'whatsapp')) t(name, source)",
     "project_names": "SELECT * FROM (VALUES ('-home-ann-projects-tool', 'tool'), ('plain', 'plain'), ('-a-projects-b-projects-c', 'c')) t(folder, project)",
     "round_half_even": "SELECT doc_id, round_even((doc_id % 100) / 2.0::DOUBLE, 0)::DOUBLE AS rounded FROM documents",
+    "transcript_files": with_(KEPT_TURNS) + f"SELECT 'project=p' || conv_id % 10 AS project, {py_count('t')}::BIGINT AS words, t AS text, 't' || turn AS ts FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY conv_id % 10, conv_id, turn) AS n FROM k) WHERE n = 1",
+    "mailbox_files": f"WITH doc AS (SELECT doc_id, source, lang = first_value(lang) OVER (PARTITION BY source ORDER BY n DESC, f) AS own, text FROM (SELECT *, count(*) OVER (PARTITION BY source, lang) AS n, min(doc_id) OVER (PARTITION BY source, lang) AS f FROM documents WHERE text IS NOT NULL)), clean AS (WITH c AS (SELECT doc_id, regexp_replace(text, '(^|\\n)From ', '\\1>From ', 'g') AS text FROM doc WHERE own) {EMAIL_CLEAN}), c AS (SELECT doc_id, text FROM clean WHERE {py_count('text')} >= 5) SELECT source, 'Thu, 04 Jun 2026 09:05:00 +0000' AS ts, parts.lang, {py_count('parts.text')}::BIGINT AS words, parts.text FROM ({LANG_SPLIT_OF_C}) parts JOIN doc USING (doc_id) WHERE {py_count('parts.text')} >= 5",
+    "route_files": with_(CORPUS, STRIP) + f"SELECT route, bucket AS project, count(*)::BIGINT AS messages, sum(raw)::BIGINT AS raw_words, sum(words)::BIGINT AS words FROM (SELECT bucket, words, {py_count('text')} AS raw, {route('stripped', 'words')} AS route FROM s) WHERE route <> 'dropped' GROUP BY 1, 2",
+    "profile_files": with_(CORPUS, SENTENCES, TOTALS) + f"SELECT t.bucket, t.messages, t.words, m.p AS message_len_p50, o.n AS openers, x.p50 AS ref_sent_p50 FROM t JOIN (SELECT bucket, {LENGTHS} FROM e GROUP BY 1) x USING (bucket) JOIN (SELECT bucket, median(len({words('text')}))::DOUBLE AS p FROM c GROUP BY 1) m USING (bucket) JOIN (SELECT bucket, least(15, count(DISTINCT opener))::BIGINT AS n FROM e GROUP BY 1) o USING (bucket)",
+    "feedback_file": "SELECT *, bad >= 3 AND bad > good AS due, 500::BIGINT AS longest_note FROM (SELECT 'r' || doc_id % 4 AS register, count(*) FILTER (v = 'good')::BIGINT AS good, count(*) FILTER (v = 'fine')::BIGINT AS fine, count(*) FILTER (v = 'bad')::BIGINT AS bad FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 'bad' WHEN quality = 1 THEN 'good' ELSE 'fine' END AS v FROM labels) GROUP BY 1)",
     "register_shares": "SELECT lang, n, n * 100::DOUBLE / sum(n) OVER () AS share FROM (SELECT lang, count(*)::BIGINT AS n FROM documents GROUP BY 1)",
 }

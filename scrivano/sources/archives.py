@@ -77,6 +77,9 @@ def chat_messages(spark: SparkSession, inbox: str) -> DataFrame:
     return both.mapInArrow(unzip, CHAT_ROWS).withColumn("source", named)
 
 
+MAILBOX = f"file string, {schemas.MAIL}"
+
+
 def mailbox_messages(spark: SparkSession, folder: str) -> DataFrame:
     """file, place and raw bytes of the messages of a folder's *.mbox files, of any size: many tasks read one mailbox.
 
@@ -155,7 +158,7 @@ BROKEN = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOF
 def mail_messages(spark: SparkSession, inbox: str) -> DataFrame:
     """Messages of *.mbox files, of the sent mailboxes in *.zip archives, and of the sent items in *.olm archives.
 
-    Columns of schemas.MAIL. Broken archives are left out. A mailbox is read by many tasks, an archive by one.
+    Columns of schemas.MAIL, and file, the path. Broken archives are left out. A mailbox is read by many tasks, an archive by one.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +167,9 @@ def mail_messages(spark: SparkSession, inbox: str) -> DataFrame:
             for path, place, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 name = path.rpartition("/")[2]
                 sender, sent, kind, text = mail_fields(without_first_line(raw))
-                rows.append((f"email:{unquote(name.rpartition('.')[0])}", "mbox", kind, place, sender, sent, text))
+                rows.append((path, f"email:{unquote(name.rpartition('.')[0])}", "mbox", kind, place, sender, sent, text))
             if rows:
-                yield _table(rows, schemas.MAIL)
+                yield _table(rows, MAILBOX)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +196,7 @@ def mail_messages(spark: SparkSession, inbox: str) -> DataFrame:
                         sender, sent, kind, text = mail_fields(m)
                         rows.append((source, "mbox", kind, i, sender, sent, text))
                 if rows:
-                    yield _table(rows, schemas.MAIL)
+                    yield _table([(path, *r) for r in rows], MAILBOX)
 
-    zipped = files(spark, inbox, "*.zip").unionByName(files(spark, inbox, "*.olm")).mapInArrow(take, schemas.MAIL)
-    return mailbox_messages(spark, inbox).mapInArrow(parse, schemas.MAIL).unionByName(zipped)
+    zipped = files(spark, inbox, "*.zip").unionByName(files(spark, inbox, "*.olm")).mapInArrow(take, MAILBOX)
+    return mailbox_messages(spark, inbox).mapInArrow(parse, MAILBOX).unionByName(zipped)

@@ -26,7 +26,7 @@ def test_counters_and_owners(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "o.olm", "w") as z:
         for i, who in enumerate(["", "", "zoe@x.org"]):
             z.writestr(f"Sent Items/{i}.xml", f"<e><SenderAddress>{who}</SenderAddress><CopyBody>six words are in this body</CopyBody></e>")
-    rows = email.judged(spark, str(tmp_path))
+    rows = email.judged(archives.mail_messages(spark, str(tmp_path)))
     assert sorted((r.source, r.own) for r in rows.collect()) == [("email:a", False), ("email:a", True), ("email:a", True), ("email:a", True), ("email:o", False), ("email:o", False), ("email:o", True)]
     counted = email.counters(rows).first()
     assert (counted.kept, counted.skipped, counted.not_owner) == (2, 2 if mail_bounces(spark, bounce) else 1, 3)
@@ -59,7 +59,7 @@ def test_broken_archives_are_left_out(spark, tmp_path):
     raw = (tmp_path / "t.zip").read_bytes()
     (tmp_path / "cut.zip").write_bytes(raw[:60] + b"\0" * 20 + raw[80:])
     (tmp_path / "locked.zip").write_bytes(raw[:6] + b"\1" + raw[7:].replace(raw[: 4] and b"PK\1\2" + raw[raw.index(b"PK\1\2") + 4 :][:4] + b"\0", b"PK\1\2" + raw[raw.index(b"PK\1\2") + 4 :][:4] + b"\1"))
-    assert {r.source for r in email.judged(spark, str(tmp_path)).collect()} >= {"email:t-Sent"}
+    assert {r.source for r in archives.mail_messages(spark, str(tmp_path)).collect()} >= {"email:t-Sent"}
 
 
 @pytest.mark.parametrize("text,want", [("&lt;a&gt; &amp;amp; &quot;&apos;", "<a> &amp; \"'"), ("&#65;&#x42;&nbsp;&copy", "AB&nbsp;&copy"), ("&#65 &lt", "&#65 &lt")])
