@@ -121,7 +121,9 @@ def _by_midpoints(fps: DataFrame, bits: int) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """doc_id, fp (signed 64-bit) and component_id of every row of docs (doc_id, text)."""
+    """doc_id, fp (signed 64-bit) and component_id of every row of docs (doc_id, text); bits is even."""
+    if bits % 2:
+        raise ValueError("an even number of bits is needed")
     own = materialise(docs.select("doc_id", fingerprints(spark, F.col("text"), words).alias("fp")), "fingerprints")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), bits))

@@ -2,49 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import re
-import shutil
-import tempfile
 import time
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from scrivano.sources.shared import new_path, own_dir
+
 #: Largest Arrow batch handed to a Python worker, in rows and in bytes.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset, a local master gets a folder of this machine that goes at exit.
-
-    On a cluster such a folder would be another one on each machine, so there it is an error.
-    """
-    context = spark.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not where:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="scrivano-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        context.setCheckpointDir(where)
-        where = context.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def own_dir(spark: SparkSession) -> str:
-    """This application's folder in the shared one."""
-    return f"{shared_dir(spark)}/scrivano-{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: its lineage ends there.
 
