@@ -21,7 +21,7 @@ def route(text: Column, words: Column) -> Column:
 def curate(raw: DataFrame) -> DataFrame:
     """raw with text stripped, words counted anew, raw_words (the former count), route, and excluded for AI-marked rows."""
     before = F.col("words") if "words" in raw.columns else T.py_word_count(F.col("text"))
-    done = raw.withColumns({"raw_words": before, "text": T.strip_machine_text(F.col("text"))}).withColumn("words", T.py_word_count(F.col("text")))
+    done = raw.withColumns({"raw_words": before, "text": F.explode(F.array(T.strip_machine_text(F.col("text"))))}).withColumn("words", T.py_word_count(F.col("text")))
     return done.withColumn("route", route(F.col("text"), F.col("words"))).withColumn("excluded", F.when(F.col("route") == "ai-marked", "ai-marker-emdash"))
 
 
@@ -67,7 +67,8 @@ def salvaged(text: Column) -> Column:
 
 def salvage(quarantine: DataFrame, curated: DataFrame, order: list[str]) -> DataFrame:
     """Fragments of quarantined messages that no curated message is and no earlier one gave; columns of a message."""
-    found = quarantine.withColumn("text", salvaged(F.col("text"))).where("text is not null")
+    # A row for each fragment that there is: what generates rows is computed once, where a filter would be inlined.
+    found = quarantine.withColumn("text", F.explode(F.array_compact(F.array(salvaged(F.col("text"))))))
     found = found.join(curated.select("text").distinct(), "text", "left_anti")
     firsts = found.groupBy("text").agg(F.min(F.struct(*dict.fromkeys([*order, *(c for c in ("ts", "project") if c in found.columns)]))).alias("m"))
     rows = firsts.select("text", "m.*").withColumns({"source": F.lit("salvage"), "words": T.py_word_count(F.col("text"))})

@@ -19,23 +19,31 @@ RHYTHM_COLUMNS = ["messages", "words", "sentence_len", "message_len_p50", "punct
 RHYTHM_WORDS = 500
 
 
-def totals(messages: DataFrame, by: str = "bucket") -> DataFrame:
-    """Messages, words (1 if there are none), and counts of marks, emoji, contractions, ellipses, capitals and letters."""
+MARKS = [f"p{i}" for i in range(len(C.PUNCTUATION))]
+COUNTED = [*MARKS, "emoji", "contractions", "ellipses", "allcaps", "letters"]
+
+
+def _measured(messages: DataFrame, by: str) -> DataFrame:
+    """One row a message: n words, and the counts of COUNTED."""
     text, found = F.col("text"), F.col("_w")
-    own = messages.withColumn("_w", T.words(text)).select(
+    return messages.withColumn("_w", T.words(text)).select(
         by, F.size(found).alias("n"),
-        *(T.occurrences(text, p).alias(f"p{i}") for i, p in enumerate(C.PUNCTUATION)),
+        *(T.occurrences(text, p).alias(name) for name, p in zip(MARKS, C.PUNCTUATION)),
         T.emoji(text).alias("emoji"), T.contractions(text).alias("contractions"), T.ellipses(text).alias("ellipses"),
         F.size(F.filter(found, lambda w: (F.length(w) > 2) & T.is_upper(w))).alias("allcaps"),
-        F.aggregate(found, F.lit(0).cast("long"), lambda a, w: a + F.length(F.lower(w))).alias("letters"),
+        F.length(F.lower(F.array_join(found, ""))).cast("long").alias("letters"),
     )
-    sums = [F.sum(c).alias(c) for c in (*(f"p{i}" for i in range(len(C.PUNCTUATION))), "emoji", "contractions", "ellipses", "allcaps", "letters")]
-    return own.groupBy(by).agg(F.count("*").alias("messages"), F.greatest(F.sum("n"), F.lit(1)).alias("words"), *sums)
 
 
-def histogram_stats(lengths: DataFrame, by: str) -> DataFrame:
-    """by, total, mean, p50 (mean of the middle two) and p90 (the element at floor(0.9 n) - 1; null for one) of column n."""
-    bars = lengths.groupBy(by, "n").agg(F.count("*").alias("c"))
+def totals(messages: DataFrame, by: str = "bucket") -> DataFrame:
+    """Messages, words (1 if there are none), and counts of marks, emoji, contractions, ellipses, capitals and letters."""
+    return _measured(messages, by).groupBy(by).agg(F.count("*").alias("messages"), F.greatest(F.sum("n"), F.lit(1)).alias("words"), *(F.sum(c).alias(c) for c in COUNTED))
+
+
+def histogram_stats(lengths: DataFrame, by: str, sums: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """by, total, mean, p50 (mean of the middle two) and p90 (the element at floor(0.9 n) - 1; null for one) of column n, and
+    the sums of other columns, in one pass over the rows."""
+    bars = lengths.groupBy(by, "n").agg(F.count("*").alias("c"), *(F.sum(s).alias(s) for s in sums))
     order = Window.partitionBy(by).orderBy("n")
     bars = bars.withColumn("upto", F.sum("c").over(order)).withColumn("all", F.sum("c").over(Window.partitionBy(by)))
 
@@ -44,7 +52,20 @@ def histogram_stats(lengths: DataFrame, by: str) -> DataFrame:
         return F.max(F.when((index >= 0) & (F.col("upto") > index) & (F.col("upto") - F.col("c") <= index), F.col("n")))
 
     low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
-    return bars.groupBy(by).agg(F.max("all").alias("total"), (F.sum(F.col("n") * F.col("c")) / F.max("all")).alias("mean"), ((at(low) + at(high)) / 2.0).alias("p50"), at(F.floor(F.col("all") * F.lit(0.9)) - 1).alias("p90"))
+    weight = F.sum(F.col("n") * F.col("c"))
+    return bars.groupBy(by).agg(F.max("all").alias("total"), weight.alias("weight"), (weight / F.max("all")).alias("mean"), ((at(low) + at(high)) / 2.0).alias("p50"), at(F.floor(F.col("all") * F.lit(0.9)) - 1).alias("p90"), *(F.sum(s).alias(s) for s in sums)).select(by, "total", "mean", "p50", "p90", *sums, "weight")
+
+
+def word_stats(messages: DataFrame, by: str = "bucket") -> DataFrame:
+    """What totals has, and message_len_p50: the median of words a message."""
+    found = histogram_stats(_measured(messages, by), by, COUNTED)
+    return found.select(by, F.col("total").alias("messages"), F.greatest("weight", F.lit(1)).alias("words"), F.col("p50").alias("message_len_p50"), *COUNTED)
+
+
+def sentence_stats(messages: DataFrame, by: str = "bucket") -> DataFrame:
+    """sentences, mean, p50 and p90 of their lengths, and how many start lower."""
+    rows = sentence_rows(messages, by).select(by, "n", F.col("lower").cast("long").alias("lower"))
+    return histogram_stats(rows, by, ["lower"]).withColumnRenamed("total", "sentences").drop("weight")
 
 
 def sentence_rows(messages: DataFrame, by: str = "bucket", order: str | None = None) -> DataFrame:
@@ -61,6 +82,11 @@ def openers(messages: DataFrame, by: str = "bucket", order: str = "doc_id", top:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "first"))).where(F.col("rank") <= top).select(by, "rank", "opener", "n")
 
 
+def _lower_words(messages: DataFrame, by: str) -> DataFrame:
+    tokens = messages.select(by, F.explode(F.transform(T.words(F.col("text")), F.lower)).alias("w"))
+    return tokens.groupBy(by, "w").agg(F.count("*").alias("n"))
+
+
 def connectors(messages: DataFrame, by: str = "bucket", top: int = 12) -> DataFrame:
     """Uses of connectors, the most frequent first, ties in the order of the list, without zeros."""
     place = F.array_position(F.array(*map(F.lit, C.CONNECTORS)), F.col("w"))
@@ -71,27 +97,30 @@ def connectors(messages: DataFrame, by: str = "bucket", top: int = 12) -> DataFr
 
 def vocabulary(messages: DataFrame, by: str = "bucket") -> DataFrame:
     """How many different lower-cased words there are; exact."""
-    tokens = messages.select(by, F.explode(F.transform(T.words(F.col("text")), F.lower)).alias("w"))
-    return tokens.groupBy(by, "w").agg(F.lit(1).alias("one")).groupBy(by).agg(F.count("*").alias("unique_words"))
+    return _lower_words(messages, by).groupBy(by).agg(F.count("*").alias("unique_words"))
+
+
+def _lexicon(messages: DataFrame, by: str, top: int = 12) -> DataFrame:
+    """unique_words, and the most used connectors (of the few in the list), from one count of the words."""
+    place = F.array_position(F.array(*map(F.lit, C.CONNECTORS)), F.col("w"))
+    used = F.collect_list(F.when(F.col("w").isin(C.CONNECTORS), F.struct((-F.col("n")).alias("less"), place.alias("place"), F.col("w").alias("connector"), F.col("n").alias("n"))))
+    return _lower_words(messages, by).groupBy(by).agg(F.count("*").alias("unique_words"), F.slice(F.array_sort(used), 1, top).alias("used"))
 
 
 def fingerprint(messages: DataFrame, by: str = "bucket", order: str = "doc_id") -> DataFrame:
-    """One row a bucket, rounded as profiles are: see the columns at the end."""
-    sentences = sentence_rows(messages, by)
-    lower = sentences.groupBy(by).agg(F.avg(F.col("lower").cast("int")).alias("lower"))
-    lengths = histogram_stats(sentences, by).select(by, "mean", "p50", "p90")
-    sizes = histogram_stats(messages.select(by, F.size(T.words(F.col("text"))).alias("n")), by).select(by, F.col("p50").alias("message_len_p50"))
+    """One row a bucket, rounded as profiles are: see the columns at the end. The messages are read four times: for words,
+    for sentences, for the sentences' first tokens, and for the vocabulary with its connectors."""
+    lengths = sentence_stats(messages, by).select(by, (F.col("lower") / F.col("sentences")).alias("lower"), "mean", "p50", "p90")
     first = openers(messages, by, order).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "opener", "n"))), lambda x: F.struct(x.opener, x.n)).alias("top_sentence_openers"))
-    used = connectors(messages, by).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "connector", "n"))).alias("used"))
-    table = totals(messages, by)
-    for part in (lower, lengths, sizes, first, used, vocabulary(messages, by)):
+    table = word_stats(messages, by)
+    for part in (lengths, first, _lexicon(messages, by)):
         table = table.join(part, by, "left")
     k = F.lit(1000.0) / F.col("words")
 
     def per(column: str | Column, digits: int = 2) -> Column:
         return py_round((F.col(column) if isinstance(column, str) else column) * F.lit(1000.0) / F.col("words"), digits)
 
-    marks = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, C.PUNCTUATION)), F.array(*(per(f"p{i}") for i in range(len(C.PUNCTUATION))))), lambda _, v: v > 0)
+    marks = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, C.PUNCTUATION)), F.array(*map(per, MARKS))), lambda _, v: v > 0)
     use = F.map_from_arrays(F.transform("used", lambda x: x.connector), F.transform("used", lambda x: x.n * k))
     return table.select(
         by, "messages", "words",

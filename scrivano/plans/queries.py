@@ -58,10 +58,8 @@ def query(f: Query) -> Query:
 @query
 def fp_basic(spark, d):
     c = corpus(spark, d)
-    sentences = fingerprint.histogram_stats(fingerprint.sentence_rows(c), "bucket").withColumnsRenamed({"total": "sentences"})
-    sizes = fingerprint.histogram_stats(c.select("bucket", F.size(T.words(F.col("text"))).alias("n")), "bucket").select("bucket", F.col("p50").alias("message_len_p50"))
-    t = fingerprint.totals(c).select("bucket", *long("messages", "words"))
-    return t.join(sentences, "bucket").join(sizes, "bucket").select("bucket", "messages", "words", "message_len_p50", *long("sentences"), "mean", "p50", *long("p90"))
+    sentences = fingerprint.sentence_stats(c).select("bucket", *long("sentences"), "mean", "p50", *long("p90"))
+    return fingerprint.word_stats(c).select("bucket", *long("messages", "words"), "message_len_p50").join(sentences, "bucket")
 
 
 @query
@@ -106,7 +104,7 @@ def fingerprint_profile(spark, d):
 @query
 def rhythm_only(spark, d):
     c = corpus(spark, d).withColumn("bucket", F.concat("bucket", F.lit("-rhythm")))
-    s = fingerprint.histogram_stats(fingerprint.sentence_rows(c), "bucket").select("bucket", "mean", "p50", "p90")
+    s = fingerprint.sentence_stats(c).select("bucket", "mean", "p50", "p90")
     return fingerprint.totals(fingerprint.enough_for_rhythm(c)).join(s, "bucket").select("bucket", *long("messages", "words"), "mean", "p50", *long("p90", "allcaps", "emoji", "ellipses"))
 
 
@@ -338,11 +336,10 @@ def text_metrics(spark, d):
 def _profiles(spark, d):
     """Unrounded profiles of languages in the shape that scores read."""
     c = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("bucket"))
-    s = fingerprint.sentence_rows(c)
-    lower = s.groupBy("bucket").agg((F.sum(F.col("lower").cast("long")) / F.count("*")).alias("lowercase_sentence_start_rate"))
+    s = fingerprint.sentence_stats(c).select("bucket", (F.col("lower") / F.col("sentences")).alias("lowercase_sentence_start_rate"), F.struct("p50").alias("sentence_len"))
     k = F.lit(1000.0) / F.col("words")
     t = fingerprint.totals(c).select("bucket", "words", F.create_map(F.lit(","), F.col("p1") * F.lit(1000.0) / F.col("words"), F.lit("!"), F.col("p4") * F.lit(1000.0) / F.col("words")).alias("punct_per_1k_words"), (F.col("contractions") * k).alias("contractions_per_1k"))
-    return t.join(lower, "bucket").join(fingerprint.histogram_stats(s, "bucket").select("bucket", F.struct("p50").alias("sentence_len")), "bucket")
+    return t.join(s, "bucket")
 
 
 def _drafts(spark, d):
