@@ -184,12 +184,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     wanted = materialise(used.select("h").distinct().join(owners, "h"), "wanted")
     sought = used.unionByName(wanted.select(F.col("owner").alias("doc_id"), "h")).groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
     contents = F.explode(F.arrow_udf(_contents, "array<struct<h: long, content: string>>")(F.col("text"), F.col("hs")))
-    firsts = texts.join(sought, "doc_id").select("doc_id", contents.alias("c")).groupBy("c.h", "c.content").agg(F.min("doc_id").alias("doc_id")).select("h", "doc_id")
+    # Both joins of the texts are merges at any size: sides that a planner would broadcast while they are small grow with docs.
+    firsts = texts.join(sought.hint("merge"), "doc_id").select("doc_id", contents.alias("c")).groupBy("c.h", "c.content").agg(F.min("doc_id").alias("doc_id")).select("h", "doc_id")
     firsts = materialise(firsts, "firsts")
     spared = firsts.join(wanted, "h").where("doc_id > owner").select("doc_id", "h")
     gone = materialise(used.join(spared, ["doc_id", "h"], "left_anti").groupBy("doc_id").agg(F.collect_list("h").alias("hs")), "gone")
     drop(owners, used, wanted, firsts)
     # Whatever the columns of docs are called, the row is one column here.
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed"))).alias("row"))
-    marked = row.withColumn("doc_id", F.col("row.doc_id")).join(gone, "doc_id", "left")
+    marked = row.withColumn("doc_id", F.col("row.doc_id")).join(gone.hint("merge"), "doc_id", "left")
     return marked.select("row", F.arrow_udf(_strip, STRIPPED)(F.col("row.text"), F.col("hs")).alias("s")).select(F.col("row").withField("text", F.col("s.text")).alias("row"), "s.n_lines", "s.n_removed").select("row.*", "n_lines", "n_removed")
