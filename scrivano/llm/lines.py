@@ -5,7 +5,9 @@ Each unit has a hash. A unit whose hash is less than that of the one before and
 chunk; so does, in a second chunking, one whose hash is more than the one before and not less than the one after. In a run of
 equal units every second one starts a chunk. Such boundaries depend on the units beside them alone, so the chunks of a
 passage are the same wherever it stands. No chunk of these has less than two units (but the first and the last may), and
-as hashes rarely rise or fall for long, chunks are short: two to four units mostly, without any bound set.
+as hashes rarely rise or fall for long, chunks are short: two to four units mostly, without any bound set. Passages of few
+but long lines may hold no whole chunk of these; so in a third chunking, whose chunks overlap, the fewest units from each unit on
+(two at least) that have LONG characters are a chunk as well.
 
 A chunk of two or more units that also stands in a document of smaller doc_id is a repeat, and it grows to both sides, unit by
 unit, as long as the pair of units at its edge stands in a document of smaller doc_id too. All units of a repeat are removed.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from scrivano.llm.store import claim, drop, materialise, small_batches
 from scrivano.llm.words import Rolling, line_hashes
 
+#: Characters of a chunk of the third kind: some fifty words.
+LONG = 250
 STRIPPED = "struct<text: string, n_lines: long, n_removed: long>"
 
 
@@ -52,7 +56,7 @@ def starts_of_chunks(h: np.ndarray, most: bool) -> np.ndarray:
 
 
 class Units:
-    """A text's units and the stretches of them that are looked at: pairs (size 0) and the chunks of both chunkings."""
+    """A text's units and the stretches of them that are looked at: pairs (kind 0) and the chunks of the three chunkings."""
 
     def __init__(self, text: str):
         self.texts, self.lines = units(text)
@@ -67,6 +71,11 @@ class Units:
             a, b = np.concatenate([[0], cuts]), np.append(cuts, n)
             a, b = a[b - a > 1], b[b - a > 1]
             starts.append(a), ends.append(b), kinds.append(np.full(len(a), kind))
+        total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.texts), np.int64, n))])
+        a = np.arange(n)
+        b = np.maximum(np.searchsorted(total, total[:-1] + LONG), a + 2)
+        a, b = a[b <= n], b[b <= n]
+        starts.append(a), ends.append(b), kinds.append(np.full(len(a), 3))
         self.starts, self.ends, self.kinds = (np.concatenate(x) for x in (starts, ends, kinds))
         self.hashes = Rolling(found).of(self.starts, self.ends)
 
@@ -135,14 +144,14 @@ def _contents(texts: pa.Array, hashes: pa.Array) -> pa.Array:
 
 def _own_repeats(u: Units) -> list[tuple[int, int]]:
     """Runs of units that stand farther up in the same text."""
-    repeated: list[list[int]] = [[], [], []]
+    repeated: list[list[int]] = [[], [], [], []]
     first: dict = {}
     for i in np.argsort(u.starts, kind="stable").tolist():
         kind, h, a = int(u.kinds[i]), int(u.hashes[i]), int(u.starts[i])
         j = first.setdefault((kind, h), i)
         if u.ends[j] <= a and u.content(i) == u.content(j):
             repeated[kind].append(a)
-    return _runs(np.array(repeated[0]), np.array(sorted(repeated[1] + repeated[2])))
+    return _runs(np.array(repeated[0]), np.array(sorted(repeated[1] + repeated[2] + repeated[3])))
 
 
 def strip(text: str, gone: list[int]) -> tuple[str, int, int]:

@@ -22,7 +22,7 @@ def parts(text):
 
 
 def stretches(us):
-    """(first, end, kind) of all pairs (kind 0) and of the chunks of both chunkings (1 and 2)."""
+    """(first, end, kind) of all pairs (kind 0) and of the chunks of the three chunkings."""
     n = len(us)
     if n < 2:
         return []
@@ -36,6 +36,13 @@ def stretches(us):
             if valley or run >= 2 and run % 2 == 0 and i < n - 1 and us[i + 1] == us[i]:
                 starts.append(i)
         found += [(a, b, kind) for a, b in zip(starts, [*starts[1:], n]) if b - a > 1]
+    for i in range(n):
+        length = 0
+        for e in range(i + 1, n + 1):
+            length += len(us[e - 1])
+            if length >= 250 and e - i > 1:
+                found.append((i, e, 3))
+                break
     return found
 
 
@@ -142,6 +149,16 @@ def test_recall_of_passages(spark):
         assert all(set(t.split("\n")) - set(passages[i - 1000]) <= set(got[i][0].split("\n")) for i, t in docs[150:])
 
 
+def test_few_long_lines(spark):
+    """Passages of two or three lines that have over fifty words go whole."""
+    rng = random.Random(6)
+    own = lambda n, k: [" ".join(f"w{rng.randrange(10**6)}" for _ in range(k)) for _ in range(n)]
+    passages = [own(n, 60 // n + 2) for n in (2, 3) for _ in range(40)]
+    docs = [(i, "\n".join(own(3, 9) + p + own(3, 9))) for i, p in enumerate(passages)] + [(1000 + i, "\n".join(own(2, 9) + p + own(4, 9))) for i, p in enumerate(passages)]
+    got = {i: n for i, _, n in answer(spark, docs)}
+    assert all(got[i] == 0 and got[1000 + i] == len(p) for i, p in enumerate(passages))
+
+
 def test_repeated_documents_go_whole(spark):
     rng = random.Random(4)
     docs = [(i, "\n".join(f"own {rng.random()}" for _ in range(rng.randrange(2, 30)))) for i in range(60)]
