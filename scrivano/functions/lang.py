@@ -21,8 +21,9 @@ def detect(text: Column) -> Column:
         n = F.size(found)
         return (n >= 4) & T.let(strong, lambda s: (s >= 1) & ((s + weak).cast("double") / F.greatest(n, F.lit(1)) >= 0.12))
 
-    latin_side = F.when(T.let(T.latin_words(text), romanised), "gr-latn").otherwise("en")
-    return T.let(latin, lambda n: F.when(greek > n, "el").when(n == 0, "other").otherwise(latin_side))
+    # Letters are only counted where Greek ones are there.
+    side = F.when(T.let(T.latin_words(text), romanised), "gr-latn").otherwise("en")
+    return F.when((greek > 0) & (greek > latin), "el").when(~text.rlike("[a-zA-Z]"), "other").otherwise(side)
 
 
 def chunks(text: Column) -> Column:

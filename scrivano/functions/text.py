@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -42,12 +43,18 @@ def register_words(text: Column) -> Column:
     return _all(F.lower(text), C.REGISTER_WORD)
 
 
+def _members(ranges: str) -> str:
+    """The characters of a class that is written as ranges."""
+    found = re.findall(r"\\x\{([0-9a-f]+)\}(?:-\\x\{([0-9a-f]+)\})?", ranges)
+    return "".join(chr(i) for a, b in found for i in range(int(a, 16), int(b or a, 16) + 1))
+
+
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{C.JS_WS}]+|[{C.JS_WS}]+$", "")
+    return F.trim(text, F.lit(_members(C.JS_WS)))
 
 
 def py_strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{C.PY_WS}]+|[{C.PY_WS}]+$", "")
+    return F.trim(text, F.lit(_members(C.PY_WS)))
 
 
 def sentences(text: Column) -> Column:
@@ -72,7 +79,16 @@ def py_split(text: Column) -> Column:
 
 
 def py_word_count(text: Column) -> Column:
-    return _count(text, f"[^{C.PY_WS}]+")
+    """Runs without white space; printable ASCII, of which most text consists, is tested by one range first."""
+    return _count(text, rf"[\x21-\x7e]++[^{C.PY_WS}]*+|[^{C.PY_WS}]++")
+
+
+def has_long_token(line: Column) -> Column:
+    """Whether 40 characters follow each other without white space.
+
+    Such a run begins at the start or after white space, so it is tried after what is no printable ASCII alone.
+    """
+    return line.rlike(rf"(?:^|[^\x21-\x7e])(?=\S{{40}}){C.LONG_TOKEN}")
 
 
 def splitlines(text: Column) -> Column:
@@ -120,7 +136,7 @@ def demojibake(text: Column) -> Column:
 
 def strip_machine_text(text: Column) -> Column:
     """Without code fences, image notes, log lines and lines with a token of 40 or more characters."""
-    kept = F.filter(splitlines(F.regexp_replace(F.regexp_replace(text, C.FENCE, " "), C.IMAGE, " ")), lambda x: ~x.rlike(C.LOG_LINE) & ~x.rlike(C.LONG_TOKEN))
+    kept = F.filter(splitlines(F.regexp_replace(F.regexp_replace(text, C.FENCE, " "), C.IMAGE, " ")), lambda x: ~x.rlike(C.LOG_LINE) & ~has_long_token(x))
     return py_strip(F.regexp_replace(F.array_join(kept, "\n"), r"[ \t]+", " "))
 
 

@@ -23,7 +23,7 @@ def score_columns(text: Column, found: Column | None = None, fragments: Column |
     def among(names: list[str], tokens: Column = found) -> Column:
         return F.size(F.filter(tokens, lambda w: w.isin(names)))
 
-    openers = F.array_distinct(F.filter(F.transform(fragments, lambda s: F.get(T.register_words(s), F.lit(0))), lambda w: w.isNotNull()))
+    openers = F.array_distinct(F.filter(F.transform(fragments, lambda s: F.regexp_extract(F.lower(s), C.REGISTER_WORD, 0)), lambda w: w != ""))
     technical = among(C.TECH_NOUNS) / per
     instruction = F.regexp_count(text, F.lit(f"(?iu){C.NOT_AFTER_WORD}(?:{C.INSTRUCTION}){C.NOT_BEFORE_WORD}")) / whole
     imperative = among(C.IMPERATIVES, openers) / whole
