@@ -34,8 +34,12 @@ def score_columns(text: Column, found: Column | None = None, fragments: Column |
 
 def with_scores(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the three unrounded scores; each text is split into tokens and fragments once."""
-    split = df.withColumns({"_tokens": T.register_words(F.col(text)), "_fragments": T.register_sentences(F.col(text))})
-    return split.withColumns(score_columns(F.col(text), F.col("_tokens"), F.col("_fragments"))).drop("_tokens", "_fragments")
+    return _split(df, text).withColumns(score_columns(F.col(text), F.col("_split.tokens"), F.col("_split.fragments"))).drop("_split")
+
+
+def _split(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with a text's tokens and fragments; as a generated row, they are computed once, not at each use."""
+    return df.withColumn("_split", F.explode(F.array(F.struct(T.register_words(F.col(text)).alias("tokens"), T.register_sentences(F.col(text)).alias("fragments")))))
 
 
 def label(technical: Column, informal: Column, editorial: Column) -> Column:
@@ -46,9 +50,8 @@ def label(technical: Column, informal: Column, editorial: Column) -> Column:
 
 def tag(messages: DataFrame) -> DataFrame:
     """messages with register_scores (rounded to three digits) and register; other columns pass through."""
-    split = messages.withColumns({"_tokens": T.register_words(F.col("text")), "_fragments": T.register_sentences(F.col("text"))})
-    scores = score_columns(F.col("text"), F.col("_tokens"), F.col("_fragments"))
-    tagged = split.withColumn("register_scores", py_rounds(scores, 3)).drop("_tokens", "_fragments")
+    scores = score_columns(F.col("text"), F.col("_split.tokens"), F.col("_split.fragments"))
+    tagged = _split(messages).withColumn("register_scores", py_rounds(scores, 3)).drop("_split")
     s = F.col("register_scores")
     return tagged.withColumn("register", label(s.technical, s.informal, s.editorial))
 

@@ -89,10 +89,15 @@ def sampling(words: Column) -> tuple[Column, Column]:
     return level, hint
 
 
+def _choosable(prints: DataFrame) -> DataFrame:
+    """Without those split off for years before 2023."""
+    return prints.where(~F.col("bucket").endswith("-pre2023"))
+
+
 def registers_info(prints: DataFrame) -> DataFrame:
     """Registers to choose from, in order of name: those split off for years before 2023 aren't."""
     level, hint = sampling(F.col("words"))
-    return prints.where(~F.col("bucket").endswith("-pre2023")).select(F.col("bucket").alias("register"), "words", level.alias("confidence"), hint.alias("hint")).orderBy("register")
+    return _choosable(prints).select(F.col("bucket").alias("register"), "words", level.alias("confidence"), hint.alias("hint")).orderBy("register")
 
 
 def infer(drafts: DataFrame, prints: DataFrame, key: str, own_rules: list[rules.Rule] | None = None) -> DataFrame:
@@ -101,8 +106,7 @@ def infer(drafts: DataFrame, prints: DataFrame, key: str, own_rules: list[rules.
 
     The few profiles of one person go to each draft; the planner broadcasts them if their size allows.
     """
-    known = registers_info(prints).where("confidence <> 'low'").select("register")
-    refs = references(prints).join(known, "register", "left_semi")
+    refs = references(_choosable(prints).where(sampling(F.col("words"))[0] != "low"))
     scored = fidelity(with_signals(metrics(drafts), own_rules).drop("register").join(refs, F.lit(True))).select(key, "register", "fidelity")
     by = Window.partitionBy(key).orderBy(F.desc("fidelity"), F.desc("register"))
     best = scored.withColumns({"place": F.row_number().over(by), "second": F.lead("fidelity").over(by)}).where("place = 1")
