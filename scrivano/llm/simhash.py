@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from scrivano.llm.graph import components
 from scrivano.llm.store import claim, drop, free, materialise, small_batches
-from scrivano.llm.words import mix, word_hashes
+from scrivano.llm.words import forget, mix, word_hashes
 
 #: Reference fingerprints, the largest cell whose pairs are compared, and shingles hashed at once.
 PIVOTS, CELL, AT_ONCE = 16, 32, 1 << 16
@@ -59,7 +59,7 @@ def fingerprints(spark: SparkSession, text: Column, words: int) -> Column:
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        claim("simhash")
+        claim("simhash", forget)
         return pa.array([fingerprint(x, words) for x in texts.to_pylist()], pa.int64())
 
     return run(text)
@@ -181,7 +181,7 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _sets(words: int) -> Callable[[Column], Column]:
     @F.arrow_udf("array<long>")
     def run(texts: pa.Array) -> pa.Array:
-        claim("simhash")
+        claim("simhash", forget)
         return pa.array([shingles(t, words).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
     return run
@@ -220,7 +220,7 @@ def _may_link(similarity: float) -> Column:
 def _near(similarity: float) -> Callable[..., Column]:
     @F.arrow_udf("boolean")
     def run(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        claim("simhash")
+        claim("simhash", forget)
         x, y = (np.frombuffer(b"".join(t.to_pylist()), np.uint8).reshape(-1, SLICES) for t in (a, b))
         both = na.to_numpy(zero_copy_only=False) + nb.to_numpy(zero_copy_only=False)
         return pa.array(apart(x, y) * (1 + similarity) <= both * (1 - similarity) + 1e-6)
@@ -284,7 +284,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = 5, simi
     """doc_id and component_id (the smallest doc_id reachable over links) of every row of docs that has a doc_id.
 
     Two documents link where the Jaccard similarity of their sets of word shingles (as 64-bit hashes) is that or more. A text
-    with fewer words than a shingle is one shingle; texts without words are alike. Rows of one doc_id should have one text.
+    with fewer words than a shingle is one shingle; texts without words are alike. doc_id is an integer; rows of one doc_id should have one text.
     Each set is ordered by the shingles' hashes, common shingles last. Of two sets of that similarity the first places, n -
     ceil(similarity * n) + 1 of them, have a shingle in common, whatever the order, so each such shingle is a cell and no
     pair is lost. Pairs of a cell are discarded by their pivot distance tables, and survivors verified by their whole sets.
@@ -299,7 +299,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = 5, simi
 
     @F.arrow_udf("struct<same: binary, n: int, first: array<long>, pivots: binary>")
     def run(texts: pa.Array) -> pa.Array:
-        claim("simhash")
+        claim("simhash", forget)
         same, sizes, firsts, pivots = [], [], [], []
         for t in texts.to_pylist():
             found = shingles(t, words)

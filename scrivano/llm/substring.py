@@ -11,7 +11,7 @@ earlier document as a whole, all its windows do, and only the earliest document'
 copies of a text cost little more than one. Hashes at lengths under w only filter; at w and beyond they have 128 bits.
 
 Windows are judged on the input. Null texts have no words. Rows with the same doc_id don't count as earlier than each other;
-rows with a null doc_id keep all words and remove none elsewhere. An empty table gives an empty table.
+rows with a null doc_id keep all words and remove none elsewhere. doc_id is an integer. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivano.llm.store import drop, materialise, small_batches
-from scrivano.llm.words import Rolling, word_hashes
+from scrivano.llm.store import claim, drop, materialise, small_batches
+from scrivano.llm.words import Rolling, forget, word_hashes
+
 
 def _sliding(x: np.ndarray, size: int, least: bool) -> np.ndarray:
     """Minima (or maxima) of each `size` neighbours, by doubling."""
@@ -57,6 +58,7 @@ def _levels(w: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            claim("substring", forget)
             found = []
             for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = split(text)
@@ -107,6 +109,7 @@ WINDOWS = "doc_id long, row long, start int, hi long, lo long"
 def _windows(w: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            claim("substring", forget)
             found = []
             for doc_id, row, text, positions, marks, spans in zip(*(c.to_pylist() for c in batch.columns)):
                 words = split(text)
@@ -122,6 +125,7 @@ def _windows(w: int):
 
 def _strip(w: int):
     def run(texts: pa.Array, marked: pa.Array, hits: pa.Array) -> pa.Array:
+        claim("substring", forget)
         kept, sizes, lost = [], [], []
         for text, m, h in zip(texts.to_pylist(), marked.to_pylist(), hits.to_pylist()):
             words = split(text)

@@ -28,6 +28,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(_hashes.__getitem__, words)), "<u8").reshape(-1, 2)
 
 
+def forget() -> None:
+    """Empties what this worker keeps."""
+    _hashes.clear()
+    _powers.clear()
+
+
 def line_hashes(lines: list[str]) -> np.ndarray:
     """The same of lines, which aren't kept."""
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), "<u8").reshape(-1, 2)
