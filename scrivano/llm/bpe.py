@@ -49,11 +49,14 @@ def byte_letters() -> dict[int, str]:
 
 
 @functools.cache
-def unassigned() -> regex.Pattern:
-    """Finds code points that Python's tables do not have."""
-    found = np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)), bool, 0x110000)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], found, [False]]).astype(np.int8))).reshape(-1, 2)
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist()) + "]")
+def _unassigned() -> np.ndarray:
+    """For each code point, whether Python's tables do not have it."""
+    return np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)), bool, 0x110000)
+
+
+def is_odd(text: str) -> bool:
+    """Whether a text has a code point that Python's tables do not have."""
+    return not text.isascii() and bool(_unassigned()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
 
 
 class WordBpe:
@@ -207,8 +210,9 @@ class WordBpe:
         words: dict[str, int] = {}
         number = words.setdefault
         plans: list = []
-        lowered = unicodedata.normalize("NFC", "\n".join(chunks)).replace("Σ", "σ").lower().split("\n")  # sigma: letter by letter
-        odd = unassigned().search
+        joined = "\n".join(chunks)
+        odd = is_odd if is_odd(joined) else lambda part: False
+        lowered = unicodedata.normalize("NFC", joined).replace("Σ", "σ").lower().split("\n")  # sigma: letter by letter
 
         def split(part: str) -> list[int]:
             if odd(part):
@@ -216,7 +220,7 @@ class WordBpe:
             return [number(w, len(words)) for w in found(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())]
 
         for chunk, low in zip(chunks, lowered):
-            if not chunk.isascii() and odd(chunk):
+            if odd(chunk):
                 low = ""  # not as Python has it
             if low.isalpha():
                 plans.append(number(low, len(words)))
