@@ -48,15 +48,15 @@ def length_bands(rows: DataFrame) -> DataFrame:
 
 
 def summary(all_rows: DataFrame) -> DataFrame:
-    """Of kept rows before the duplicates go: messages, duplicates, projects, and the range of times in their own order."""
-    texts = all_rows.groupBy("text").agg(F.count("*").alias("n"))
+    """Of kept rows before the duplicates go: messages, their words, duplicates, projects, and the range of times in their own order."""
+    texts = all_rows.groupBy("text").agg(F.count("*").alias("n"), F.min("words").alias("w"))
     ranges = all_rows.agg(F.min(F.when(F.col("ts") != "", F.col("ts"))).alias("first_ts"), F.max(F.when(F.col("ts") != "", F.col("ts"))).alias("last_ts"), F.countDistinct("project").alias("projects"))
-    return texts.agg(F.count("*").alias("messages"), (F.sum("n") - F.count("*")).alias("duplicates")).join(ranges, F.lit(True))
+    return texts.agg(F.count("*").alias("messages"), F.coalesce(F.sum("w"), F.lit(0)).alias("words"), F.coalesce(F.sum("n") - F.count("*"), F.lit(0)).alias("duplicates")).join(ranges, F.lit(True))
 
 
 def stats(all_rows: DataFrame, order: str) -> DataFrame:
     """The lines of a report on kept rows before the duplicates go: totals, range of times, and a table of projects."""
-    total = summary(all_rows).crossJoin(all_rows.dropDuplicates(["text"]).agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words")))
+    total = summary(all_rows)
     shown = lambda c: F.coalesce(c, F.lit("None"))
     head = [F.lit("# Corpus stats"), F.lit(""), F.format_string("Messages: %d, words: %d, duplicates skipped: %d", "messages", "words", "duplicates"), F.concat(F.lit("Range: "), shown("first_ts"), F.lit(" to "), shown("last_ts")), F.lit(""), F.lit("| project | messages | words |"), F.lit("|---|---|---|")]
     lines = total.select(F.posexplode(F.array(*head)).alias("at", "line")).select(F.lit(0).alias("part"), F.col("at").cast("long"), "line")
