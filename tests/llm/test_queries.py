@@ -133,10 +133,8 @@ def test_op5(spark, docs):
 
 def kernel_row(text):
     """Places of a text's n-grams of one to three letters, one by one."""
-    kept = "".join(c if c.isalpha() else " " for c in text.lower())
-    c = [32, *(ord(x) for x in " ".join(kept.split(" ")) if True), 32]
-    c = [x for k, x in enumerate(c) if not (x == 32 and k and c[k - 1] == 32)]
-    c = c if c[-1] == 32 else [*c, 32]
+    low = text.lower()
+    c = [32, *(ord(x) if x.isalpha() else 32 for k, x in enumerate(low) if k == 0 or x.isalpha() or low[k - 1].isalpha()), 32]
     out, m = set(), 2**32
     for n in (1, 2, 3):
         for k in range(len(c) - n + 1):
