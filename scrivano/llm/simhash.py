@@ -135,17 +135,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 3, bits:
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Similarity of sets of shingles. At a similarity of 0.8 one bit in seven of a fingerprint of majorities differs, so 64 such
-# bits lose links or make false ones. Here the fingerprint is the set itself, as bits over all hash values: the Hamming
-# distance of two sets is the number of shingles that only one of them has, which decides the similarity exactly.
+# Similarity of sets of shingles. At a similarity of 0.8 about one bit in seven of a SimHash differs, which 64 bits can't tell
+# from chance, so fingerprints have BITS bits here. What their pivot distance tables and then their own distances leave is
+# checked exactly: the symmetric difference of two sets of shingles decides their similarity.
 
 #: Documents that are looked through for common shingles, and how many of them must have one.
 SAMPLE, COMMON = 20_000, 20
-#: Slices of the hash values; the reference fingerprints are all unions of slices.
+#: Slices of the hash values, in which a set's shingles are counted.
 SLICES = 256
 #: Times that each member of a cell meets the one partner that shares most cells with it, before all that is open meets in pairs.
 ROUNDS = 3
 MULTIPLIER = np.uint64(0x94D049BB133111EB)
+#: Bits of a wide fingerprint (64 a seed, which turns a shingle's hash into 64 more bits), and how rarely a link may be lost:
+#: no more often than two shingles have one hash by chance.
+BITS, LOST = 512, 2.0**-64
+SEEDS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64))
+#: Sizes of sets for which the largest distance is computed one by one; from half of them on it hardly changes.
+SIZES = 48
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -160,8 +166,72 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
+def wide(found: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles in BITS / 8 bytes: a bit is set if it is set in over half of the shingles' bits."""
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(found), 255):
+        h = mix(found[i : i + 255, None] ^ SEEDS).astype("<u8")
+        counts += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(found), bitorder="little")
+
+
+def distances(fps: np.ndarray) -> np.ndarray:
+    """Rows of the pivot distance table of fingerprints (rows of bytes): four numbers of 0 to 2 in each byte.
+
+    The reference fingerprints are all unions of pairs of neighbouring bits. The distance of F to such a union P is |F| + |P| -
+    2 |F and P|, so the numbers of bits that F has in each pair hold the distances to all of them.
+    """
+    return (fps & 0x55) + (fps >> 1 & 0x55)
+
+
+def tables_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of `distances`, the largest difference of their coordinates, which the fingerprints' distance is never below.
+
+    For the union of the pairs in which F has less, the distances of F and G differ by all that one has more than the other.
+    """
+    return sum(np.abs((a >> i & 3).astype(np.int8) - (b >> i & 3).astype(np.int8)).sum(1, dtype=np.int64) for i in (0, 2, 4, 6))
+
+
+def chance(shared: int, a: int, b: int) -> float:
+    """How likely a bit of two sets' fingerprints differs, by the shingles that they share and those that one alone has."""
+
+    def over(own: int) -> np.ndarray:  # the chance that the set's bit is set, by the shared shingles that have it
+        ways = np.array([math.comb(own, i) / 2**own for i in range(own + 1)])
+        tail = np.append(np.cumsum(ways[::-1])[::-1], 0)
+        return tail[np.clip((shared + own) // 2 + 1 - np.arange(shared + 1), 0, own + 1)]
+
+    x, y = over(a), over(b)
+    return float(np.array([math.comb(shared, i) / 2**shared for i in range(shared + 1)]) @ (x * (1 - y) + y * (1 - x)))
+
+
+@functools.cache
+def limits(similarity: float) -> np.ndarray:
+    """The most bits in which two linked sets' fingerprints differ, but with the chance LOST, by the smaller set's size.
+
+    Of the sizes and shares that give the similarity the one with most differing bits counts. The last number is for all larger sets.
+    """
+
+    def worst(n: int) -> float:
+        found = [0.0]
+        for m in range(n, math.floor(n / similarity + 1e-9) + 1):
+            least = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+            found += [chance(s, n - s, m - s) for s in range(least, min(n, least + 1) + 1)]  # an even and an odd number
+        return max(found)
+
+    def most(p: float) -> int:
+        """The least number of bits that is exceeded with a chance under LOST (Chernoff's bound)."""
+        for at in range(math.ceil(p * BITS), BITS):
+            q = at / BITS
+            if p == 0 or q and BITS * (q * math.log(q / p) + (1 - q) * math.log((1 - q) / (1 - p))) >= -math.log(LOST):
+                return at
+        return BITS
+
+    p = [worst(n) for n in range(SIZES)]
+    return np.array([*map(most, p), most(max(p[SIZES // 2 :]))])
+
+
 def table(found: np.ndarray) -> bytes:
-    """A set's row of the pivot distance table: how many of its shingles lie in each slice, up to 255.
+    """How many of a set's shingles lie in each slice, up to 255: for the exact check, its row of a table of distances.
 
     The distance of a set A to a reference fingerprint P that is a union of slices is |A| + |P| - 2 |A and P|, so the slices'
     counts hold the distances to all such references.
@@ -170,7 +240,7 @@ def table(found: np.ndarray) -> bytes:
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For rows of counts, the largest difference of coordinates in the pivot tables, which no Hamming distance is below.
+    """For rows of counts, the largest difference of coordinates, which no distance of two sets is below.
 
     For the union of the slices in which A has more, the coordinates of A and B differ by what A has more and what B has more
     elsewhere, together; no other union does better. Counts that are cut at 255 only lower the bound.
@@ -218,18 +288,30 @@ def _may_link(similarity: float) -> Column:
 
 
 def _near(similarity: float) -> Callable[..., Column]:
+    """Whether pairs may link: by the pivot tables, then by the fingerprints, then by the counts of the sets."""
+    most = limits(similarity)
+
     @F.arrow_udf("boolean")
-    def run(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+    def run(ta: pa.Array, tb: pa.Array, fa: pa.Array, fb: pa.Array, ca: pa.Array, cb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
         claim("simhash", forget)
-        x, y = (np.frombuffer(b"".join(t.to_pylist()), np.uint8).reshape(-1, SLICES) for t in (a, b))
-        both = na.to_numpy(zero_copy_only=False) + nb.to_numpy(zero_copy_only=False)
-        return pa.array(apart(x, y) * (1 + similarity) <= both * (1 - similarity) + 1e-6)
+
+        def rows(column: pa.Array, width: int) -> np.ndarray:
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+        m, n = na.to_numpy(zero_copy_only=False), nb.to_numpy(zero_copy_only=False)
+        bits = most[np.minimum(np.minimum(m, n), len(most) - 1)]
+        left = np.flatnonzero(tables_apart(rows(ta, BITS // 8), rows(tb, BITS // 8)) <= bits)
+        left = left[np.bitwise_count(rows(fa, BITS // 8)[left] ^ rows(fb, BITS // 8)[left]).sum(1, dtype=np.int64) <= bits[left]]
+        left = left[apart(rows(ca, SLICES)[left], rows(cb, SLICES)[left]) * (1 + similarity) <= (m + n)[left] * (1 - similarity) + 1e-6]
+        found = np.zeros(len(m), bool)
+        found[left] = True
+        return pa.array(found)
 
     return run
 
 
 class _Verifier:
-    """Holds the pivot tables of the documents in play (node, n, pivots) and verifies pairs."""
+    """Holds the fingerprints and tables of the documents in play (node, n, pivots, fp, counts) and verifies pairs."""
 
     def __init__(self, docs: DataFrame, pivots: DataFrame, words: int, similarity: float):
         self.docs, self.pivots, self.words, self.similarity = docs, pivots, words, similarity
@@ -247,10 +329,10 @@ class _Verifier:
         return functools.reduce(DataFrame.unionByName, self.sets).join(nodes, "node", "left_semi")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) that have the similarity: what the pivot tables leave is held against the whole sets."""
-        a = self.pivots.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("pivots").alias("pu"))
-        b = self.pivots.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("pivots").alias("pv"))
-        left = materialise(pairs.join(a, "u").join(b, "v").where(_near(self.similarity)("pu", "pv", "nu", "nv")).select("u", "v"), "pairs")
+        """The pairs (u, v) that have the similarity: what the pivot tables and fingerprints leave is held against the whole sets."""
+        a, b = (self.pivots.select(F.col("node").alias(end), *(F.col(c).alias(c + end) for c in ("pivots", "fp", "counts", "n"))) for end in "uv")
+        near = _near(self.similarity)(*(c + end for c in ("pivots", "fp", "counts", "n") for end in "uv"))
+        left = materialise(pairs.join(a, "u").join(b, "v").where(near).select("u", "v"), "pairs")
         ends = materialise(left.select(F.col("u").alias("node")).union(left.select("v")).distinct(), "ends")
         sets = self._sets(ends)
         free(pairs.sparkSession)
@@ -286,8 +368,10 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = 5, simi
     Two documents link where the Jaccard similarity of their sets of word shingles (as 64-bit hashes) is that or more. A text
     with fewer words than a shingle is one shingle; texts without words are alike. doc_id is an integer; rows of one doc_id should have one text.
     Each set is ordered by the shingles' hashes, common shingles last. Of two sets of that similarity the first places, n -
-    ceil(similarity * n) + 1 of them, have a shingle in common, whatever the order, so each such shingle is a cell and no
-    pair is lost. Pairs of a cell are discarded by their pivot distance tables, and survivors verified by their whole sets.
+    ceil(similarity * n) + 1 of them, have a shingle in common, whatever the order, so each such shingle is a cell, and cells
+    propose all pairs. Pairs link by their fingerprints (`wide`): what the pivot distance tables leave must differ in no more
+    bits than `limits` has for its size, which linked sets exceed with a chance under LOST. Survivors are verified by their
+    whole sets.
 
     Only pairs of documents that aren't in one component yet matter. So each member first meets the one of its cells' first
     members that shares most cells with it, ROUNDS times over, which joins the copies of a text; then all pairs of a cell
@@ -297,24 +381,27 @@ def similar_documents(spark: SparkSession, docs: DataFrame, words: int = 5, simi
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     common = spark.sparkContext.broadcast(_common(docs, words))  # at most SAMPLE documents' shingles over COMMON
 
-    @F.arrow_udf("struct<same: binary, n: int, first: array<long>, pivots: binary>")
+    @F.arrow_udf("struct<same: binary, n: int, first: array<long>, pivots: binary, fp: binary, counts: binary>")
     def run(texts: pa.Array) -> pa.Array:
         claim("simhash", forget)
-        same, sizes, firsts, pivots = [], [], [], []
+        same, sizes, firsts, pivots, fps, counts = [], [], [], [], [], []
         for t in texts.to_pylist():
             found = shingles(t, words)
             n = len(found)
-            same.append(hashlib.sha256(found.tobytes()).digest()), sizes.append(n), pivots.append(table(found))
+            fp = wide(found)
+            same.append(hashlib.sha256(found.tobytes()).digest()), sizes.append(n)
+            pivots.append(distances(fp).tobytes()), fps.append(fp.tobytes()), counts.append(table(found))
             last = np.isin(found, common.value, assume_unique=True)
             firsts.append(np.concatenate([found[~last], found[last]])[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(pivots, pa.binary())], ["same", "n", "first", "pivots"])
+        columns = [pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (pivots, fps, counts))]
+        return pa.StructArray.from_arrays(columns, ["same", "n", "first", "pivots", "fp", "counts"])
 
     every = materialise(docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*"), "prefixes")
     # Equal sets are one node.
     firsts = materialise(every.groupBy("same").agg(F.min("doc_id").alias("node")), "firsts")
     own = materialise(every.select("doc_id", "same").join(firsts, "same").select("doc_id", "node").distinct(), "copies")
     nodes = every.join(firsts.select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
-    pivots = every.select(F.col("doc_id").alias("node"), "n", "pivots").dropDuplicates(["node"])
+    pivots = every.select(F.col("doc_id").alias("node"), "n", "pivots", "fp", "counts").dropDuplicates(["node"])
     cells = nodes.select(F.col("doc_id").alias("node"), "n", F.posexplode("first").alias("at", "cell")).select("cell", "node", "n", "at")
     cells = cells.repartitionByRange("cell", "node").sortWithinPartitions("cell", "node").mapInArrow(_shared, "cell long, node long, n int, at int")
     cells = materialise(cells, "cells").withColumn("root", F.col("node"))

@@ -51,6 +51,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest doc_id; rows without a doc_id stay.
 
+    Near-duplicates are linked by SimHash fingerprints of 512 bits and their pivot distance tables, and checked by their shingles.
     Texts that are null or have no words are one group. Rows with the same doc_id are one document, of which one row stays.
     """
     groups = simhash.similar_documents(spark, docs, words=5, similarity=0.8)
