@@ -14,6 +14,7 @@ from scrivano import constants as C
 from scrivano.functions import text as T
 
 _REFERENCE = re.compile(r"&(?:#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?|([a-zA-Z][a-zA-Z0-9]*);?)")
+_CLOSED = re.compile(r"&(?:#(?:[xX]([0-9a-fA-F]+)|([0-9]+))|([a-zA-Z][a-zA-Z0-9]*));")
 _NAMED = {name: html.unescape(f"&{name};") for name in C.ENTITIES}
 _DATE = re.compile(C.RFC5322)
 
@@ -59,13 +60,13 @@ def _character(number: int) -> str:
     return "�" if number == 0 or 0xD800 <= number <= 0xDFFF or number > 0x10FFFF else chr(number)
 
 
-def unescape_text(text: str) -> str:
+def unescape_text(text: str, closed: bool = False) -> str:
     def one(m: re.Match) -> str:
         if m[1] or m[2]:
             return _character(int(m[1], 16) if m[1] else int(m[2]))
         return _NAMED.get(m[3], m[0])
 
-    return _REFERENCE.sub(one, text)
+    return (_CLOSED if closed else _REFERENCE).sub(one, text)
 
 
 _XML = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
@@ -76,18 +77,21 @@ def unescape_xml(text: str) -> str:
     return re.sub(r"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|(lt|gt|amp|quot|apos));", lambda m: _XML[m[3]] if m[3] else _character(int(m[2], 16) if m[2] else int(m[1])), text)
 
 
-def unescape(text: Column) -> Column:
-    """Numeric and common named character references decoded; unknown names stay."""
+def unescape(text: Column, closed: bool = False) -> Column:
+    """Numeric and common named character references decoded; unknown names stay.
+
+    Mail often lacks the semicolon, so it isn't needed; closed decodes only references that have theirs.
+    """
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else unescape_text(t) if "&" in t else t for t in texts.to_pylist()], pa.string())
+        return pa.array([None if t is None else unescape_text(t, closed) if "&" in t else t for t in texts.to_pylist()], pa.string())
 
     return run(text)
 
 
-def html_to_text(markup: Column) -> Column:
-    return unescape(markup_to_lines(markup))
+def html_to_text(markup: Column, closed: bool = False) -> Column:
+    return unescape(markup_to_lines(markup), closed)
 
 
 def format_date_text(raw: str) -> str:
