@@ -79,16 +79,21 @@ def py_split(text: Column) -> Column:
 
 
 def py_word_count(text: Column) -> Column:
-    """Runs without white space; printable ASCII, of which most text consists, is tested by one range first."""
-    return _count(text, rf"[\x21-\x7e]++[^{C.PY_WS}]*+|[^{C.PY_WS}]++")
+    """Runs without white space: the parts between single spaces, once all white space is such, that aren't empty.
+
+    No match is made for each word, which a count by a pattern would do.
+    """
+    blanks = _members(C.PY_WS)
+    return F.array_size(F.array_remove(F.split(F.translate(text, blanks, " " * len(blanks)), " "), ""))
 
 
 def has_long_token(line: Column) -> Column:
     """Whether 40 characters follow each other without white space.
 
-    Such a run begins at the start or after white space, so it is tried after what is no printable ASCII alone.
+    Only a line with so long a part between spaces is searched. Such a run begins at the start or after white space, so it
+    is tried after what is no printable ASCII alone.
     """
-    return line.rlike(rf"(?:^|[^\x21-\x7e])(?=\S{{40}}){C.LONG_TOKEN}")
+    return F.exists(F.split(line, " "), lambda part: F.length(part) >= 40) & line.rlike(rf"(?:^|[^\x21-\x7e])(?=\S{{40}}){C.LONG_TOKEN}")
 
 
 def splitlines(text: Column) -> Column:

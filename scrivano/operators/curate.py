@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivano import constants as C
 from scrivano.functions import text as T
 from scrivano.operators import registers
+from scrivano.sources import shared
 
 ROUTES = ("curated", "quarantine", "ai-marked", "dropped")
 
@@ -21,15 +24,22 @@ def route(text: Column, words: Column) -> Column:
 def curate(raw: DataFrame) -> DataFrame:
     """raw with text stripped, words counted anew, raw_words (the former count), route, and excluded for AI-marked rows."""
     before = F.col("words") if "words" in raw.columns else T.py_word_count(F.col("text"))
-    done = raw.withColumns({"raw_words": before, "text": F.explode(F.array(T.strip_machine_text(F.col("text"))))}).withColumn("words", T.py_word_count(F.col("text")))
+    counted = T.let(T.strip_machine_text(F.col("text")), lambda t: F.struct(t.alias("text"), T.py_word_count(t).alias("words")))
+    # What generates rows is computed once, where filters on the words or the route would be inlined.
+    done = raw.withColumns({"raw_words": before, "_s": F.explode(F.array(counted))}).withColumns({"text": F.col("_s.text"), "words": F.col("_s.words")}).drop("_s")
     return done.withColumn("route", route(F.col("text"), F.col("words"))).withColumn("excluded", F.when(F.col("route") == "ai-marked", "ai-marker-emdash"))
 
 
 def write_routes(curated: DataFrame, folder: str) -> None:
-    """One folder a route under folder; every route is there even where it is empty."""
-    for name in ROUTES[:3]:
-        rows = curated.where(F.col("route") == name).drop("route")
-        (rows if name == "ai-marked" else rows.drop("excluded")).write.mode("overwrite").json(f"{folder}/{name}")
+    """One folder a route under folder; every route is there even where it is empty. The rows are computed and written once."""
+    spark, staged = curated.sparkSession, f"{folder}/_{uuid.uuid4().hex}"
+    try:
+        # Rows that aren't AI-marked have no `excluded`, so it is not in their lines.
+        curated.where(F.col("route").isin(*ROUTES[:3])).write.partitionBy("route").option("ignoreNullFields", True).json(staged)
+        for name in ROUTES[:3]:
+            shared.replace_folder(spark, f"{staged}/route={name}", f"{folder}/{name}")
+    finally:
+        shared.delete(spark, staged)
 
 
 def route_totals(curated: DataFrame) -> DataFrame:

@@ -45,3 +45,19 @@ def rename_files(spark: SparkSession, folder: str, extension: str) -> None:
     for status in system.globStatus(where):
         path = status.getPath()
         system.rename(path, jvm.org.apache.hadoop.fs.Path(re.sub(r"\.[a-z]+$", "", path.toString()) + extension))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def replace_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a folder of written files to target, in place of what is there; target is an empty one where source is none."""
+    jvm = spark.sparkContext._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    system = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(new, True)
+    if system.exists(old) and not system.rename(old, new):
+        raise OSError(f"{source} can't be moved to {target}")
+    system.create(jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")).close()
