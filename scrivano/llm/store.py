@@ -10,11 +10,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivano.sources.shared import new_path, own_dir
-
-#: Largest Arrow batch handed to a Python worker, in rows and in bytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-
+from scrivano.sources.shared import new_path, own_dir, small_batches  # noqa: F401  the operators take it from here
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: its lineage ends there.
@@ -73,10 +69,3 @@ def free(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     time.sleep(1)  # the files are deleted by a thread of its own
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches by rows and bytes, so that long texts don't fill a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

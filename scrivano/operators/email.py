@@ -33,14 +33,21 @@ def judged(rows: DataFrame) -> DataFrame:
     """
     rows = rows.withColumns({"address": mail.from_address(F.col("sender")), "key": F.concat_ws("\u0001", "source", "place")})
     who = owners(rows.where((F.col("address") != "") | (F.col("archive") != "olm"))).select("source", F.col("address").alias("owner"))
-    body = F.when(F.col("kind") == "html", mail.html_to_text(F.col("body"))).otherwise(F.col("body"))
+    html = F.col("kind") == "html"
+    # References are decoded in Python, to which all rows go: those without markup go without their bodies.
+    body = F.when(html, mail.html_to_text(F.when(html, F.col("body")))).otherwise(F.col("body"))
     rows = rows.join(who, "source", "left").withColumn("own", F.col("address") == F.coalesce("owner", F.lit("")))
-    return rows.select("key", "source", "own", mail.format_date(F.col("sent")).alias("ts"), F.when(F.col("own"), mail.clean(body)).alias("text"))
+    # Side by side, so that one worker does both.
+    rows = rows.select("key", "source", "own", mail.format_date(F.col("sent")).alias("ts"), body.alias("body"))
+    # What generates rows is computed once, where filters on the text would be inlined.
+    return rows.select("key", "source", "own", "ts", F.explode(F.array(F.when(F.col("own"), mail.clean(F.col("body"))))).alias("text"))
 
 
 def ingest_rows(rows: DataFrame) -> DataFrame:
     own = judged(rows).where("own")
-    return records(own.select("key", "text")).join(own.select("key", "source", "ts"), "key").select("ts", "source", "lang", "words", "text")
+    # The key has what each chunk keeps of its message, so that messages aren't parsed again to be joined.
+    parts = records(own.select(F.struct("key", "source", "ts").alias("key"), "text"))
+    return parts.select("key.ts", "key.source", "lang", "words", "text")
 
 
 def ingest(spark: SparkSession, inbox: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import email
 import email.policy
+import functools
 import io
 import json
 import re
@@ -24,6 +25,7 @@ from scrivano import schemas
 from scrivano.constants import HTML_LIKE
 from scrivano.functions import text as T
 from scrivano.functions.mail import unescape_xml
+from scrivano.sources.shared import small_batches
 
 ENTRY = re.compile(r"(?:inbox|messages)/.+/message_[0-9]+\.json$")
 LIKE_HTML = re.compile(HTML_LIKE)
@@ -72,6 +74,7 @@ def chat_messages(spark: SparkSession, inbox: str) -> DataFrame:
                         if ENTRY.search(name):
                             yield _table(_thread(path, name, number, z.read(name)), CHAT_ROWS)
 
+    small_batches(spark)
     both = files(spark, inbox, "*.zip").unionByName(files(spark, inbox, "message_*.json"))
     named = F.when(F.col("file").endswith(".zip"), T.source_name(T.stem(F.col("file")))).otherwise("chat")
     return both.mapInArrow(unzip, CHAT_ROWS).withColumn("source", named)
@@ -111,10 +114,23 @@ def split_mbox(raw: bytes) -> list[bytes]:
     return [without_first_line(raw[a:b]) for a, b in zip(starts, [*starts[1:], len(raw)])]
 
 
+_header = functools.lru_cache(1024)(email.policy.default.header_fetch_parse)
+
+
+class _Policy(email.policy.EmailPolicy):
+    """The default policy, which parses a header anew each time that anything asks for it; mails share most of theirs."""
+
+    def header_fetch_parse(self, name, value):
+        return _header(name, value) if type(value) is str and len(value) <= 1000 else super().header_fetch_parse(name, value)
+
+
+POLICY = _Policy()
+
+
 def mail_fields(raw: bytes) -> tuple[str, str, str, str]:
     """From, Date, the kind of the body (plain or html) and its text, of a message in bytes."""
     raw = raw.replace(b"\r\n", b"\n").replace(b"\r", b"\n")
-    message = email.message_from_bytes(raw, policy=email.policy.default)
+    message = email.message_from_bytes(raw, policy=POLICY)
 
     def header(name: str) -> str:
         try:
@@ -198,5 +214,6 @@ def mail_messages(spark: SparkSession, inbox: str) -> DataFrame:
                 if rows:
                     yield _table([(path, *r) for r in rows], MAILBOX)
 
+    small_batches(spark)
     zipped = files(spark, inbox, "*.zip").unionByName(files(spark, inbox, "*.olm")).mapInArrow(take, MAILBOX)
     return mailbox_messages(spark, inbox).mapInArrow(parse, MAILBOX).unionByName(zipped)
